@@ -47,3 +47,8 @@ def salted_join(
     if how in ("inner", "left"):
         return joined.drop(right[key]).drop(right["_salt"]).drop(left["_salt"])
     return joined.drop("_salt")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows (counted, reading no more than that); else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
