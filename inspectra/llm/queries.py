@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.functions.keys import plain_id
-from inspectra.llm import survivorship
+from inspectra.llm import addresses, survivorship
 from inspectra.operators.skew import broadcast_if_small
 from inspectra.session import table
 
@@ -29,7 +29,12 @@ def p2_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.golden_records(_survivors(spark, sf_dir), SURVIVORS).withColumnRenamed("key", "restaurant_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records)}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = addresses.same_place_pairs(table(spark, sf_dir, "address_records"), record="address_id", address="address", city="city", postal="postal_code")
+    return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found)}
 
 _UNKNOWN = ", ".join(f"'{x}'" for x in survivorship.UNKNOWN)
 _BROKEN = survivorship.BROKEN
