@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.functions.keys import plain_id
-from inspectra.llm import addresses, survivorship
+from inspectra.llm import addresses, linkage, survivorship
 from inspectra.operators.skew import broadcast_if_small
 from inspectra.session import table
 
@@ -34,7 +34,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("address_id_a"), F.col("b").alias("address_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found)}
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"city": "city", "postal": "postal_code", "latitude": "latitude", "longitude": "longitude"}
+    seeds = table(spark, sf_dir, "michelin_seed_valid").where("nullif(trim(michelin_restaurant_id), '') IS NULL")
+    left = linkage.encode(seeds, name="name_as_published", address="address_as_published", keep=["seed_row_no"], holding=False, **columns)
+    records = table(spark, sf_dir, "restaurants").withColumn("restaurant_id", plain_id(F.col("restaurant_id"))).where("restaurant_id IS NOT NULL")
+    right = linkage.encode(records, name="name", address="address", keep=["record_no", "restaurant_id"], holding=True, **columns)
+    return linkage.link(left, right, left_id="seed_row_no", right_id="record_no", entity="restaurant_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir).select("seed_row_no", "restaurant_id")
+
+
+def p4_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _links(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found, p4_found, p4_confidences)}
 
 _UNKNOWN = ", ".join(f"'{x}'" for x in survivorship.UNKNOWN)
 _BROKEN = survivorship.BROKEN
