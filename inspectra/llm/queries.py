@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.functions.keys import plain_id
-from inspectra.llm import addresses, linkage, survivorship
+from inspectra.llm import addresses, linkage, spam, survivorship
 from inspectra.operators.skew import broadcast_if_small
 from inspectra.session import table
 
@@ -51,7 +51,15 @@ def p4_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found, p4_found, p4_confidences)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
+
+
+def p9_spam_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", min_share=0.0)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found, p4_found, p4_confidences, p9_found, p9_spam_shares)}
 
 _UNKNOWN = ", ".join(f"'{x}'" for x in survivorship.UNKNOWN)
 _BROKEN = survivorship.BROKEN
