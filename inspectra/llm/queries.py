@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inspectra.functions.keys import plain_id
-from inspectra.llm import addresses, linkage, spam, survivorship
+from inspectra.llm import addresses, leakage, linkage, packing, spam, survivorship
 from inspectra.operators.skew import broadcast_if_small
 from inspectra.session import table
 
@@ -51,6 +51,32 @@ def p4_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links(spark, sf_dir)
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", packing.token_count(F.col("text")).alias("tokens"))
+    return packing.pack(sized, table(spark, sf_dir, "pack_sizes"), item="doc_id", size="tokens", kind="container_kind", capacity="capacity_tokens")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "pack_sizes").select("container_kind", "capacity_tokens")
+    return packing.filled(_packed(spark, sf_dir)).join(broadcast_if_small(sizes), "container_kind").withColumn("unused", F.col("capacity_tokens") - F.col("used"))
+
+
+def p7_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnRenamed("item", "doc_id").withColumnRenamed("size", "tokens")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("share").alias("largest_share"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
 
@@ -59,7 +85,7 @@ def p9_spam_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", min_share=0.0)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found, p4_found, p4_confidences, p9_found, p9_spam_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found, p4_found, p4_confidences, p7_containers, p7_assignments, p8_found, p8_leaked_items, p9_found, p9_spam_shares)}
 
 _UNKNOWN = ", ".join(f"'{x}'" for x in survivorship.UNKNOWN)
 _BROKEN = survivorship.BROKEN
