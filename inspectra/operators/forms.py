@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Labels of the fields, and marks of the issuing offices.
@@ -18,7 +19,7 @@ MARKS = {"nyc": ["department of health and mental hygiene", "dohmh", "city of ne
 
 def jurisdiction(text: Column) -> Column:
     """The one office whose marks a text has; NULL for none or both."""
-    has = lambda k: __import__("functools").reduce(lambda a, m: a | F.contains(F.lower(text), F.lit(m)), MARKS[k], F.lit(False))
+    has = lambda k: reduce(lambda a, m: a | F.contains(F.lower(text), F.lit(m)), MARKS[k], F.lit(False))
     nyc, fl = has("nyc"), has("florida")
     return F.when(nyc & ~fl, "nyc").when(fl & ~nyc, "florida")
 
@@ -86,8 +87,6 @@ def draft_status(found: DataFrame, doc: str, required: list[str]) -> DataFrame:
 
 def valid_blocks(blocks: DataFrame, *, pages: int = 100, per_page: int = 500, chars: int = 5000) -> DataFrame:
     """Text blocks that obey the limits: page, length, source, finite ordered box, confidence only from OCR and in [0, 1]."""
-    from pyspark.sql import Window
-
     b = F.col("bounding_box")
     box = b.isNull() | ((b["x0"] <= b["x1"]) & (b["y0"] <= b["y1"]) & ~F.isnan(b["x0"]) & ~F.isnan(b["x1"]) & ~F.isnan(b["y0"]) & ~F.isnan(b["y1"]) & (F.abs(b["x1"]) < 1e308) & (F.abs(b["y1"]) < 1e308))
     conf = F.when(F.col("source") == "ocr", F.col("ocr_confidence").between(0, 1)).otherwise(F.col("ocr_confidence").isNull())
@@ -98,8 +97,6 @@ def valid_blocks(blocks: DataFrame, *, pages: int = 100, per_page: int = 500, ch
 
 def checked_corrections(corrections: DataFrame, *, chars: int = 500, total: int = 20_000) -> DataFrame:
     """``status`` per correction: rejected if too long (alone or together), unparseable if its kind cannot be read, else parsed."""
-    from pyspark.sql import Window
-
     all_chars = F.sum(F.length("value")).over(Window.partitionBy("document_id"))
     number, day = F.col("value").try_cast("double"), F.coalesce(F.try_to_date("value", "M/d/yyyy"), F.try_to_date("value", "yyyy-MM-dd"))
     unread = ((F.col("kind") == "number") & (number.isNull() | (number < 0))) | ((F.col("kind") == "date") & day.isNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +60,7 @@ def build_graph(*, restaurants: DataFrame | None, inspections: DataFrame | None,
         edges.append(_edges(matches.where("decision = 'accept'"), F.col("restaurant_id"), F.col("award_id"), "matched_to"))
     if not nodes:
         raise ValueError("no table to build a graph from")
-    union = lambda dfs: __import__("functools").reduce(lambda a, b: a.unionByName(b), dfs)
+    union = lambda dfs: reduce(lambda a, b: a.unionByName(b), dfs)
     g = union(nodes).groupBy("node_id", "node_type").agg(F.min("attrs").alias("attrs"), F.count_distinct("attrs").alias("contents"))
     conflicts = g.where("contents > 1").select("node_id", "node_type", "contents")
     all_nodes = g.drop("contents")

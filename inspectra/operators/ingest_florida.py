@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inspectra import schemas
 from inspectra.functions.keys import digest
 from inspectra.functions.names import mapped
-from inspectra.functions.parse import clean, conform, count_malformed, count_value, reject_reason, require_columns, slash_or_iso_date
+from inspectra.functions.parse import clean, conform, reject_reason, require_columns, slash_or_iso_date
 from inspectra.operators.resolve import duplicate_signatures
 
 COUNTS = ["total_violations", "high_priority_count", "intermediate_count", "basic_count", "visit_number"]
@@ -35,10 +35,9 @@ def staged(raw: DataFrame, *, licenses: list[str] | None = None) -> DataFrame:
     key = F.xxhash64(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(raw.columns)])
     df = df.withColumn("row_key", key).withColumns({c: clean(F.col(c)) for c in columns})
     numbers = [*COUNTS, *schemas.FL_CATEGORIES]
-    bad = F.lit(False)
-    for c in numbers:
-        bad = bad | count_malformed(F.col(c))
-    df = df.withColumn("malformed", bad).withColumns({c: count_value(F.col(c)) for c in numbers}).withColumn("inspection_day", slash_or_iso_date(F.col("inspection_date")))
+    given = F.array_size(F.array_compact(F.array(*numbers)))
+    df = df.withColumn("_given", given).withColumns({c: F.col(c).try_cast("int") for c in numbers}).withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in numbers})
+    df = df.withColumn("malformed", F.array_size(F.array_compact(F.array(*numbers))) < F.col("_given")).drop("_given").withColumn("inspection_day", slash_or_iso_date(F.col("inspection_date")))
     scope = (F.lower("inspection_class") == "food") & F.col("license_type_code").isin(FOOD_LICENSES if licenses is None else licenses)
     reject = reject_reason(
         ("out_of_scope", ~F.coalesce(scope, F.lit(False))), ("missing_license", F.col("license_number").isNull()), ("missing_visit_id", F.col("inspection_visit_id").isNull()),

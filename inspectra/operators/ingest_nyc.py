@@ -71,12 +71,12 @@ def build_events(raw: DataFrame, *, ingested_at: datetime | None = None, dataset
     base = kept.groupBy(*keys).agg(
         F.first("restaurant_id").alias("restaurant_id"), F.first("camis").alias("source_id"), F.first("inspection_date").alias("inspection_date"), F.first("type_norm").alias("inspection_type"),
         *[first_present(F.col(c), order).alias(n) for n, c in DESCRIPTIVE.items()])
-    graded = kept.where("grade IS NOT NULL AND grade_date IS NOT NULL").groupBy("inspection_id", F.col("grade").alias("_g")).agg(F.max("grade_date").alias("grade_date"))
+    graded = kept.where("grade IS NOT NULL AND grade_date IS NOT NULL").groupBy(F.col("inspection_id").alias("_gid"), F.col("grade").alias("_g")).agg(F.max("grade_date").alias("grade_date"))
     v = violations(kept)
     counts = v.groupBy("inspection_id").agg(F.count("*").cast("int").alias("violation_count"), F.count_if(F.col("severity") == "critical").cast("int").alias("critical_violation_count"))
     snapshot = all_rows.agg(F.max("record_date").alias("source_snapshot_date"))
     constants = {"source_dataset": F.lit(dataset), "source_sha256": F.lit(sha256), "ingested_at": F.lit(ingested_at).cast("timestamp"), "pipeline_version": F.lit(version)}
-    e = base.join(conflicts, keys, "left").join(counts, keys, "left").join(graded, (base["inspection_id"] == graded["inspection_id"]) & (F.col("grade") == F.col("_g")), "left").drop(graded["inspection_id"])
+    e = base.join(conflicts, keys, "left").join(counts, keys, "left").join(graded, (F.col("inspection_id") == F.col("_gid")) & (F.col("grade") == F.col("_g")), "left")
     e = e.crossJoin(F.broadcast(snapshot)).withColumns(constants | {  # the snapshot is one row
         "jurisdiction": F.lit("nyc"), "violation_count": F.coalesce("violation_count", F.lit(0)), "critical_violation_count": F.coalesce("critical_violation_count", F.lit(0)),
         **{f"{c}_conflict": F.coalesce(f"{c}_conflict", F.lit(False)) for c in ("score", "action", "grade")}})

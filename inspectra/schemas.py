@@ -3,8 +3,12 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "int": T.IntegerType(),
+          "array<string>": T.ArrayType(T.StringType()), "array<double>": T.ArrayType(T.DoubleType())}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (f.split() for f in text.split(","))])
 
 
 # Names and types of the stored tables.
