@@ -41,7 +41,7 @@ def salted_join(
     salts = {k: -(-n // rows) for k, n in hot.items()}
     n_salts = F.coalesce(F.try_element_at(_literal_map(salts), F.col(key).cast("string")), F.lit(1))
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), n_salts).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), n_salts - 1)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), (n_salts - 1).cast("int"))))
     condition = (left[key] == right[key]) & (left["_salt"] == right["_salt"])
     joined = left.join(right, condition if on is None else condition & on, how)
     if how in ("inner", "left"):
