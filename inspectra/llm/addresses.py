@@ -62,13 +62,14 @@ def _ordinal(n: int) -> str:
 
 def parse_address(address: str | None, city: str | None = None, postal: str | None = None) -> dict:
     """The components of one address; those left out are None. Without a number or a name the address names no place."""
-    none = dict.fromkeys(("number", "name", "kind", "direction", "town", "zip"))
+    town = _letters(city) or None
+    zip5 = re.match(r"\s*(\d{5})", postal or "")
+    zip5 = zip5.group(1) if zip5 else None
+    none = dict.fromkeys(("number", "name", "kind", "direction"))
     if not isinstance(address, str):
-        return none
+        return none | {"town": TOWNS.get(town, town), "zip": zip5}
     s = "".join(c for c in unicodedata.normalize("NFKD", address.lower()) if not unicodedata.combining(c))
     s = re.sub(r"\s+", " ", s).strip(" ,;.")
-    zip5 = re.match(r"\s*(\d{5})", postal or "")
-    zip5 = zip5.group(1) if zip5 else None
     m = _STATE.search(s)
     if m:
         zip5 = zip5 or m.group(1) or m.group(4)
@@ -76,7 +77,6 @@ def parse_address(address: str | None, city: str | None = None, postal: str | No
     for pattern in _REMARK:
         s = pattern.sub(" ", s)
     s = _UNIT.sub(" ", s)
-    town = _letters(city) or None
     parts = [p.strip(" .;-") for p in s.split(",")]
     parts = [p for p in parts if p and not (town and _letters(p) == town)]
     main, rest, numbered, named = [], [], False, False

@@ -136,7 +136,7 @@ def close_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str)
 
 def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return F.when(h.isNotNull(), 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), h))))  # least() passes over NULL
 
 
 def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
