@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inspectra.session import checkpoint
+
 #: Street kinds with their short forms.
 KINDS: dict[str, list[str]] = {
     "street": ["street", "st", "str", "strt", "streets"], "avenue": ["avenue", "ave", "av", "aven", "avenu", "avn"], "road": ["road", "rd"],
@@ -132,7 +134,7 @@ def address_classes(records: DataFrame, *, record: str, address: str, city: str,
     ``members(record, class_id)`` holds the records that name a place; ``classes`` has one row a class with its
     components. The class id is a hash of the components.
     """
-    p = with_components(records.select(F.col(record).alias("record"), address, city, postal), address, city, postal)
+    p = checkpoint(with_components(records.select(F.col(record).alias("record"), address, city, postal), address, city, postal))  # parsed once
     parts = ["number", "name", "kind", "direction", "town", "zip"]
     named = p.where("place.number IS NOT NULL AND place.name IS NOT NULL").select("record", *[F.col(f"place.{x}").alias(x) for x in parts])
     cid = F.xxhash64(*[F.coalesce(F.col(x), F.lit("\x00")) for x in parts])
