@@ -151,7 +151,7 @@ def _pieces(name: Column, number: Column) -> Column:
 def same_name(a: Column, b: Column) -> Column:
     """Equal, or within the allowed edits (a swap of neighbours counts as two) when long enough; numbered streets must be equal."""
     size = F.least(F.length(a), F.length(b))
-    allowed = F.when(size >= 10, EDITS + 1).when(size >= 6, 1).otherwise(0)
+    allowed = F.when(size >= 14, 2 * EDITS).when(size >= 10, EDITS + 1).when(size >= 6, 1).otherwise(0)
     lettered = ~a.rlike("^[0-9]") & ~b.rlike("^[0-9]")
     return (a == b) | (lettered & (F.levenshtein(a, b) <= allowed))
 
