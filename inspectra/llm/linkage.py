@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inspectra.llm.addresses import same_name, with_components
+from inspectra.session import checkpoint
 
 BITS, CHUNKS = 256, 16
 RADIUS = CHUNKS - 1
@@ -127,9 +128,12 @@ def close_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str)
     """
     def side(df: DataFrame, i: str, v: str, is_left: bool) -> DataFrame:
         each = df.select(i, F.explode(_localities(is_left)).alias("at"), "variants").select(i, "at", F.explode("variants").alias("x"))
-        return each.select(i, "at", F.col("x.kind").alias("kind"), F.col("x.bits").alias(v), F.explode(chunks(F.col("x.bits"))).alias("c"))
+        keys = F.transform(chunks(F.col("x.bits")), lambda c: F.xxhash64(F.col("at"), F.col("x.kind"), c))
+        return each.select(i, F.col("x.kind").alias(f"{v}_kind"), F.col("x.bits").alias(v), F.explode(keys).alias("key"))
 
-    met = side(left, left_id, "a", True).join(side(right, right_id, "b", False), ["at", "kind", "c"]).where(hamming(F.col("a"), F.col("b")) <= RADIUS)
+    # a row a chunk and locality: far more than the size of the tables lets expect, so neither side may be broadcast
+    met = side(left, left_id, "a", True).hint("merge").join(side(right, right_id, "b", False).hint("merge"), "key")
+    met = met.where((F.col("a_kind") == F.col("b_kind")) & (hamming(F.col("a"), F.col("b")) <= RADIUS)).withColumnRenamed("a_kind", "kind")
     d = dice(F.col("a"), F.col("b"))
     return met.groupBy(left_id, right_id).agg(F.max(F.when(F.col("kind") == "name", d)).alias("name_dice"), F.max(F.when(F.col("kind") == "holding", d)).alias("holding_dice"))
 
@@ -189,7 +193,8 @@ def link(left: DataFrame, right: DataFrame, *, left_id: str, right_id: str, enti
     another name. Of several the best wins (address, name, distance, then the smallest entity). Rows without a
     name are matched with nothing.
     """
-    pairs = scored_pairs(left, right, left_id, right_id).join(right.select(right_id, entity), right_id)
+    left, right = checkpoint(left), checkpoint(right)  # encoded once; each side is read three times
+    pairs = checkpoint(scored_pairs(left, right, left_id, right_id).join(right.select(right_id, entity), right_id))
     pairs = pairs.withColumn("bin", F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int"))
     conf = pairs.join(F.broadcast(calibration(pairs, bins)), "bin")
     near = F.when(F.col("km").isNotNull(), F.col("km") <= SPOT_KM).otherwise(F.coalesce(F.col("postal_dice") == 1.0, F.lit(False)))
