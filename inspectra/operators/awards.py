@@ -9,6 +9,7 @@ from inspectra.functions.keys import digest
 from inspectra.functions.names import normal_address, normal_name
 from inspectra.functions.parse import clean, lenient_double, reject_reason, require_columns
 from inspectra.operators.resolve import keep_first
+from inspectra.session import checkpoint
 
 REQUIRED = ["name_as_published", "city", "region", "jurisdiction_candidate", "distinction", "guide_name", "guide_year", "source_url", "source_title", "source_publisher",
             "source_access_date", "source_license_note", "provenance_confidence"]
@@ -47,7 +48,7 @@ def build(raw: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
     The first row of an id wins. ``city_region``: rows of one id disagree in city or region; ``event``: rows of
     one event id differ in content; ``identity_drift``: a curator reference that has several ids.
     """
-    rows = staged(raw, order)
+    rows = checkpoint(staged(raw, order))  # an award list is short, its normal forms are long expressions
     kept = rows.where("reject IS NULL")
     places = kept.groupBy(F.col("award_id").alias("id")).agg(F.count_distinct(F.struct("city", "region")).alias("n")).where("n > 1")
     content = F.struct("distinction", "guide_name", "guide_year", "announced_date", "source_url", "source_title", "source_publisher", "source_access_date", "source_license_note", "provenance_confidence", "source_row_ref")

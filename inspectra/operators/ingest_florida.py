@@ -12,6 +12,7 @@ from inspectra.functions.keys import digest
 from inspectra.functions.names import mapped
 from inspectra.functions.parse import clean, conform, reject_reason, require_columns, slash_or_iso_date
 from inspectra.operators.resolve import duplicate_signatures
+from inspectra.session import checkpoint
 
 COUNTS = ["total_violations", "high_priority_count", "intermediate_count", "basic_count", "visit_number"]
 
@@ -79,7 +80,7 @@ def reconciliation(visits: DataFrame) -> DataFrame:
 def build_events(raw: DataFrame, *, ingested_at: datetime | None = None, snapshot: date | None = None, dataset: str | None = None, version: str | None = None,
                  titles: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(inspection_events, violation_events, report, conflicting_visits)``. ``titles`` names the categories, if given."""
-    all_rows = staged(raw)
+    all_rows = checkpoint(staged(raw))  # typed once; visits, conflicts, categories and the report read it
     visits, conflicts = deduplicated(all_rows.where("reject IS NULL"))
     constants = {"source_dataset": F.lit(dataset), "source_snapshot_date": F.lit(snapshot).cast("date"), "ingested_at": F.lit(ingested_at).cast("timestamp"), "pipeline_version": F.lit(version)}
     ids = {"inspection_id": F.concat(F.lit("florida:"), "inspection_visit_id"), "restaurant_id": F.concat(F.lit("florida:"), "license_number"), "jurisdiction": F.lit("florida"), "inspection_date": F.col("inspection_day")}

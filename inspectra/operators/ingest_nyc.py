@@ -12,6 +12,7 @@ from inspectra.functions.keys import digest
 from inspectra.functions.names import normal_code, severity
 from inspectra.functions.parse import clean, conform, iso_or_slash_date, lenient_double, reject_reason, require_columns, squeezed
 from inspectra.operators.resolve import first_present, keep_first, resolve_conflicts
+from inspectra.session import checkpoint
 
 DATES, NUMBERS = ["inspection_date", "grade_date", "record_date"], ["score", "latitude", "longitude"]
 DESCRIPTIVE = {"inspection_type_raw": "inspection_type", "dba": "dba", "boro_raw": "boro", "building": "building", "street": "street", "zipcode": "zipcode",
@@ -62,7 +63,7 @@ def build_events(raw: DataFrame, *, ingested_at: datetime | None = None, dataset
     Descriptive fields take the first value present in the order latest record first; score, action and grade are
     resolved conservatively; the grade date is the latest one of the chosen grade.
     """
-    all_rows = staged(raw)
+    all_rows = checkpoint(staged(raw))  # typed once; events, violations and the report read it
     kept = all_rows.where("reject IS NULL")
     keys = ["inspection_id"]
     conflicts = resolve_conflicts(kept, keys, {

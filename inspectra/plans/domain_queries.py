@@ -133,7 +133,7 @@ def _florida(spark: SparkSession, sf_dir: str):
 
 
 def _visits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return ingest_florida.deduplicated(ingest_florida.staged(table(spark, sf_dir, "fl_sample_current")).where("reject IS NULL"))
+    return ingest_florida.deduplicated(checkpoint(ingest_florida.staged(table(spark, sf_dir, "fl_sample_current"))).where("reject IS NULL"))
 
 
 @query(f"""WITH {_FLORIDA} SELECT 'florida:' || inspection_visit_id AS inspection_id, 'florida:' || license_number AS restaurant_id, day AS inspection_date, inspection_type, total_violations AS violation_count,
