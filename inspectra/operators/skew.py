@@ -52,3 +52,12 @@ def salted_join(
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``max_rows`` rows (counted, reading no more than that); else as it is."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if its files are too few to keep them busy; a larger input stays where it is read.
+
+    At most ``defaultParallelism`` splits are moved, so what is shuffled stays small however large the data grow.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
