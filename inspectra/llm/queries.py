@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inspectra.functions.keys import plain_id
 from inspectra.llm import addresses, leakage, linkage, packing, spam, survivorship
-from inspectra.operators.skew import broadcast_if_small
+from inspectra.operators.skew import broadcast_if_small, spread
 from inspectra.session import table
 
 SURVIVORS = [survivorship.Field("name"), survivorship.Field("address"), survivorship.Field("latest_inspection_date", "date")]
@@ -52,7 +52,7 @@ def p4_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = table(spark, sf_dir, "documents").select("doc_id", packing.token_count(F.col("text")).alias("tokens"))
+    sized = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", packing.token_count(F.col("text")).alias("tokens"))
     return packing.pack(sized, table(spark, sf_dir, "pack_sizes"), item="doc_id", size="tokens", kind="container_kind", capacity="capacity_tokens")
 
 
@@ -66,7 +66,7 @@ def p7_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
+    return leakage.leaked_items(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "eval_items"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +78,11 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.spam_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
+    return spam.spam_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id")
 
 
 def p9_spam_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spam.spam_pages(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", min_share=0.0)
+    return spam.spam_pages(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", min_share=0.0)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_golden_records, p3_found, p4_found, p4_confidences, p7_containers, p7_assignments, p8_found, p8_leaked_items, p9_found, p9_spam_shares)}
