@@ -107,22 +107,26 @@ def encode(df: DataFrame, *, name: str, address: str, city: str, postal: str, la
 def _localities(left: bool) -> Column:
     """Where an entity is: its postal code, its number in its town, its cell of the grid (on the left with the cells around).
 
-    A side with neither postal code nor coordinates meets every entity of its town on the other side.
+    A number without a town meets that number in every town. Within a town meet the sides of which no postal code or
+    no coordinates can be compared: one has neither, or one has only the first and the other only the second.
     """
     p = F.col("place")
     cell = lambda i, j: F.concat(F.lit("g|"), (F.floor(F.col("lat") / CELL) + i).cast("string"), F.lit("|"), (F.floor(F.col("lon") / CELL) + j).cast("string"))
     around = range(-1, 2) if left else range(1)
-    unplaced = p["zip"].isNull() & F.col("lat").isNull()
+    no_zip, no_spot, no_town = p["zip"].isNull(), F.col("lat").isNull(), p["town"].isNull()
     mine, theirs = ("l|", "r|") if left else ("r|", "l|")
+    crossed = [(no_zip, "zs|"), (no_spot, "sz|")] if left else [(no_spot, "zs|"), (no_zip, "sz|")]
     return F.array_distinct(F.array_compact(F.array(
-        F.concat(F.lit("z|"), p["zip"]), F.concat(F.lit("n|"), p["number"], F.lit("|"), F.coalesce(p["town"], F.lit(""))),
-        F.when(unplaced, F.concat(F.lit(mine), p["town"])), F.concat(F.lit(theirs), p["town"]), *[cell(i, j) for i in around for j in around])))
+        F.concat(F.lit("z|"), p["zip"]), F.concat(F.lit("n|"), p["number"], F.lit("|"), p["town"]),
+        F.when(no_town, F.concat(F.lit(f"n{mine}"), p["number"])), F.concat(F.lit(f"n{theirs}"), p["number"]),
+        F.when(no_zip & no_spot, F.concat(F.lit(mine), p["town"])), F.concat(F.lit(theirs), p["town"]),
+        *[F.when(lacks, F.concat(F.lit(at), p["town"])) for lacks, at in crossed], *[cell(i, j) for i in around for j in around])))
 
 
 def close_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """``(left_id, right_id, name_dice, holding_dice)``: exactly the pairs that share a locality and have name vectors within ``RADIUS`` bits.
 
-    Localities are alternatives (postal code, number and town, grid cell). Multi-index hashing: by the pigeonhole
+    Localities are alternatives (postal code, number and town, number where a town is missing, town, grid cell). Multi-index hashing: by the pigeonhole
     principle such a pair is equal in one chunk at least, so it meets in the equi-join; the distance is checked
     where it meets, and each pair is kept once. ``holding_dice`` compares a holding's name with a single word.
     """

@@ -40,3 +40,11 @@ def test_hashing_finds_every_close_pair(spark):
     bits = {r[0]: [v & (2**64 - 1) for v in r[1]] for r in x.select("seed", F.col("variants")[0]["bits"]).collect()}
     far = lambda a, b: sum(bin(p ^ q).count("1") for p, q in zip(bits[a], bits[b]))
     assert found == {(a, b) for a, b in itertools.product(bits, bits) if far(a, b) <= l.RADIUS}
+
+
+def test_a_missing_town_or_uncomparable_places_hide_no_pair(spark):
+    left = [(1, "Golden Heron", "178 Lupet Dale Dr", None, None, None, None), (2, "Paper Moon", "9 Elm Road", "Lakeside", "30011", None, None), (3, "Quiet Ladle", None, "Lakeside", "30011", None, None), (4, "Burnt Quince", None, "Hilltown", None, "26.5", "-81.5")]
+    right = [
+        (1, "f:1", "Golden Heron", "178 LUPETDALE DRIVE", "Lakeside", "30011", "26.5", "-81.5"), (2, "f:2", "Golden Heron", "179 Lupetdale Drive", "Lakeside", "30011", "26.6", "-81.6"), (3, "f:3", "Paper Moon", "9 Elm Rd", None, None, None, None),
+        (4, "f:4", "Quiet Ladle", "8 Oak St", "Lakeside", None, "26.9", "-81.9"), (5, "f:5", "Burnt Quince", "8 Oak St", "Hilltown", "30500", None, None)]
+    assert {k: v[0] for k, v in _link(spark, left, right).items()} == {1: "f:1", 2: "f:3", 3: "f:4", 4: "f:5"}
