@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inspectra.session import checkpoint
@@ -33,10 +34,8 @@ ORDINALS = {
 }
 #: Towns that go by two names.
 TOWNS = {"newyork": "manhattan", "newyorkcity": "manhattan", "nyc": "manhattan"}
-#: Length of name pieces, and the edits that a name may differ by.
-PIECE, EDITS = 4, 2
-#: Least share of the weight of an address's indexed pieces that the other one must contain.
-CONTAINMENT = 0.1
+#: Edits that a name may differ by, by its least length.
+EDITS = {14: 4, 10: 3, 6: 1}
 
 _KIND = {s: k for k, v in KINDS.items() for s in v}
 _DIRECTION = {s: k for k, v in DIRECTIONS.items() for s in v}
@@ -142,20 +141,62 @@ def address_classes(records: DataFrame, *, record: str, address: str, city: str,
     return members.select("record", "class_id"), members.groupBy("class_id").agg(*[F.first(x).alias(x) for x in parts])
 
 
-def _pieces(name: Column, number: Column) -> Column:
-    """The pieces of a name, each with the number in front; a short name is one piece."""
-    n = F.greatest(F.lit(1), F.length(name) - (PIECE - 1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(number, F.lit("|"), F.substring(name, i, F.lit(PIECE)))))
+def _allowed(length: Column) -> Column:
+    return reduce(lambda c, kv: c.when(length >= kv[0], kv[1]), list(EDITS.items())[1:], F.when(length >= max(EDITS), EDITS[max(EDITS)])).otherwise(0)
 
 
 def same_name(a: Column, b: Column) -> Column:
     """Equal, or within the allowed edits (a swap of neighbours counts as two) when long enough; numbered streets must be equal."""
-    size = F.least(F.length(a), F.length(b))
-    allowed = F.when(size >= 14, 2 * EDITS).when(size >= 10, EDITS + 1).when(size >= 6, 1).otherwise(0)
+    allowed = _allowed(F.least(F.length(a), F.length(b)))
     lettered = ~a.rlike("^[0-9]") & ~b.rlike("^[0-9]")
     return (a == b) | (lettered & (F.levenshtein(a, b) <= allowed))
 
 
+def _cut(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """``(start, size)`` of piece ``i`` of the ``edits + 1`` pieces of a name; the last ones are longer by a letter where needed."""
+    least, short = F.floor(length / (edits + 1)).cast("int"), edits + 1 - F.pmod(length, edits + 1)
+    return i * least + F.greatest(F.lit(0), i - short), least + F.when(i >= short, 1).otherwise(0)
+
+
+def _key(number: Column, length: Column, i: Column, piece: Column) -> Column:
+    return F.xxhash64(number, length, i, piece)
+
+
+def _indexed(name: Column, number: Column) -> Column:
+    """The set that indexes a name: its pieces, one more than the edits it allows, each with the number, the length and the place."""
+    length, edits = F.length(name), F.when(name.rlike("^[0-9]"), 0).otherwise(_allowed(F.length(name)))
+
+    def one(i: Column) -> Column:
+        start, size = _cut(length, edits, i)
+        return _key(number, length, i, F.substring(name, start + 1, size))
+
+    return F.transform(F.sequence(F.lit(0), edits), one)
+
+
+def _probes(name: Column, number: Column) -> Column:
+    """The set that a name probes with: wherever a piece of an equal or shorter name within the allowed edits can stand in it.
+
+    Of two names within k edits, one of the k + 1 pieces of the shorter one stands unbroken in the longer one, moved by
+    no more than the edits before it and no more than those left for the letters after it (Pass-Join).
+    """
+    size, most = F.length(name), max(EDITS.values())
+
+    def of_length(less: Column) -> Column:
+        length = size - less
+        edits = F.when(name.rlike("^[0-9]"), 0).otherwise(_allowed(length))
+
+        def of_piece(i: Column) -> Column:
+            start, n = _cut(length, edits, i)
+            low = F.greatest(F.lit(0), start - i, start + less - (edits - i))
+            high = F.least(size - n, start + i, start + less + (edits - i))
+            at = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+            return F.transform(at, lambda p: _key(number, length, i, F.substring(name, p + 1, n)))
+
+        return F.when((length > 0) & (less <= edits), F.flatten(F.transform(F.sequence(F.lit(0), edits), of_piece))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), of_length)))
+
+
 def compatible(a: str, b: str) -> Column:
     """No contradiction between the components of two sides: kind, direction and town (by postal code where a town is missing)."""
     def agree(x: str) -> Column:
@@ -168,26 +209,18 @@ def compatible(a: str, b: str) -> Column:
 def class_pairs(classes: DataFrame) -> DataFrame:
     """``(class_a, class_b, containment)`` of classes that mean one place, ``class_a < class_b``.
 
-    Set-containment join: every class is the set of its name pieces, each with the street number. A class is indexed
-    by its rarest pieces, so many that names within the allowed edits must share one (an edit breaks at most
-    ``PIECE`` pieces), and every class probes with all its pieces. A met pair is kept if it has no contradictory
-    component, if its names agree and if one side contains at least ``CONTAINMENT`` of the other's indexed weight
-    (the rarer a piece the heavier; a piece that only one address has cannot be contained and weighs nothing).
-    Components travel with the pieces, so contradictions are dropped where pairs arise.
+    Set-containment join: a class is indexed by the pieces of its name, each with the street number, and every class
+    probes with the set of pieces that an equal or shorter name may have within the allowed edits. Names within them
+    share one by the pigeonhole principle, so every pair whose names agree is met; it is kept if it has no contradictory
+    component. ``containment`` is the share of the shorter name's pieces that the longer one contains. Components
+    travel with the pieces, so contradictions are dropped where pairs arise.
     """
-    parts = F.struct("name", "kind", "direction", "town", "zip")
-    sets = classes.select("class_id", parts.alias("p"), _pieces(F.col("name"), F.col("number")).alias("pieces"))
-    each = sets.select("class_id", "p", F.size("pieces").alias("size"), F.explode("pieces").alias("piece"))
-    counts = each.groupBy("piece").agg(F.count("*").alias("df"))
-    weight = F.when(F.col("df") > 1, F.lit(1.0) / F.log2(F.col("df") + 1.0)).otherwise(0.0)
-    each = each.join(counts, "piece").withColumn("weight", weight)
-    w = Window.partitionBy("class_id").orderBy("df", "piece")
-    ranked = each.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.least(F.col("size"), F.lit(PIECE * (EDITS + 1) + 1)))
-    total = F.sum("weight").over(Window.partitionBy("class_id"))
-    index = ranked.withColumn("total", total).select("piece", F.col("class_id").alias("i_id"), F.col("p").alias("i"), "weight", "total")
-    probe = each.select("piece", F.col("class_id").alias("q_id"), F.col("p").alias("q"))
-    met = index.join(probe, "piece").where(F.col("i_id") != F.col("q_id")).where(compatible("i", "q")).where(same_name(F.col("i.name"), F.col("q.name")))
-    held = met.groupBy("i_id", "q_id").agg((F.sum("weight") / F.first("total")).alias("containment")).where(F.col("containment") >= CONTAINMENT)
+    parts = F.struct("number", "name", "kind", "direction", "town", "zip")
+    index = classes.select(F.col("class_id").alias("i_id"), parts.alias("i"), F.explode(_indexed(F.col("name"), F.col("number"))).alias("piece"))
+    probe = classes.select(F.col("class_id").alias("q_id"), parts.alias("q"), F.explode(_probes(F.col("name"), F.col("number"))).alias("piece"))
+    met = index.join(probe, "piece").where((F.col("i_id") != F.col("q_id")) & (F.col("i.number") == F.col("q.number"))).where(compatible("i", "q")).where(same_name(F.col("i.name"), F.col("q.name")))
+    pieces = F.size(_indexed(F.first("i.name"), F.first("i.number")))
+    held = met.groupBy("i_id", "q_id").agg((F.count("*") / pieces).alias("containment"))
     return held.groupBy(F.least("i_id", "q_id").alias("class_a"), F.greatest("i_id", "q_id").alias("class_b")).agg(F.max("containment").alias("containment"))
 
 

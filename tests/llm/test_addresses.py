@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 
@@ -38,3 +39,34 @@ def test_typing_errors_within_the_allowed_edits(spark):
 def test_empty_and_long(spark):
     assert _pairs(spark, []) == set()
     assert _pairs(spark, [("1 " + "alder " * 3000 + "St", "L", "1"), ("1 " + "alder " * 3000 + "Street", "L", "1")]) == {(0, 1)}
+
+
+def _edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def test_every_name_within_the_allowed_edits_is_met(spark):
+    rng, letters = random.Random(7), "abcdefghijklmnopqruvwxyz"
+    names = ["walnut", "walmut", "madison", "madyson", "madson", "lincoln", "linkoln", "bedford", "bedgord", "22nd", "32nd", "oak", "oaks"]
+    for n in (5, 6, 7, 8, 9, 10, 11, 13, 14, 15, 17):
+        for _ in range(4):
+            names.append(word := "".join(rng.choice(letters) for _ in range(n)))
+            for k in (1, 1, 2, 3, 3, 4, 4, 5):
+                w = list(word)
+                for _ in range(k):
+                    at = rng.randrange(len(w))
+                    w[at:at + 1] = rng.choice([[], [rng.choice(letters)], [w[at], rng.choice(letters)], [rng.choice(letters), w[at]]])
+                names.append("".join(w))
+    names = sorted({x for x in names if x} - set(a._KIND) - set(a._DIRECTION) - set(a.ORDINALS))
+    allowed = lambda n: 4 if n >= 14 else 3 if n >= 10 else 1 if n >= 6 else 0
+    lettered = lambda x: not x[0].isdigit()
+    classes = spark.createDataFrame([(i, "7", x, None, None, "lakeside", None) for i, x in enumerate(names)], "class_id long, number string, name string, kind string, direction string, town string, zip string")
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(names), 2) if lettered(x) and lettered(y) and _edits(x, y) <= allowed(min(len(x), len(y)))}
+    got = a.class_pairs(classes).collect()
+    assert {(r[0], r[1]) for r in got} == want and len(got) == len(want) > 100 and all(0 < r["containment"] <= 1 for r in got)
+    assert _pairs(spark, [("7 Walnut St", "Lakeside", "1"), ("7 Walmut St", "Lakeside", "1"), ("8 Walmut St", "Lakeside", "1")]) == {(0, 1)}
