@@ -12,7 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inspectra.operators.evaluation import average_precision
+from inspectra.operators.evaluation import average_precision, interval
+from inspectra.session import checkpoint
 
 # What a candidate must gain, and what calibration needs.
 GAIN, FEW_ROWS, ISOTONIC_ROWS, ISOTONIC_MINORITY, SEED = 0.01, 30, 1000, 400, 20260101
@@ -113,7 +114,7 @@ def calibrated(df: DataFrame, calibration: tuple[str, object], p: str = "probabi
     if method == "raw":
         return df.withColumn(out, F.col(p))
     if method == "isotonic":
-        return model.transform(df).withColumn(out, F.col("prediction")).select(*df.columns, out)
+        return model.copy({model.featuresCol: p}).transform(df).withColumn(out, F.col("prediction")).select(*df.columns, out)
     t = model.transform(VectorAssembler(inputCols=[p], outputCol="p_vector").transform(df))
     return t.withColumn(out, vector_to_array("p_probability")[1]).select(*df.columns, out)
 
@@ -132,20 +133,61 @@ def bootstrap_multiplicities(clusters: DataFrame, cluster: str, members: int, *,
     return draws.groupBy("member", "position").agg(F.count("*").alias("times")).join(numbered, "position").select("member", cluster, "times")
 
 
-def bootstrap_scores(train: DataFrame, score: DataFrame, features: list[str], label: str, cluster: str, members: int, *, key: str, base_seed: int = SEED) -> DataFrame:
-    """``(key, member, value, reason)``: probabilities of each member's linear model; a single-class member fails with a reason."""
-    times = bootstrap_multiplicities(train, cluster, members, base_seed=base_seed)
-    out = None
+@dataclass
+class Member:
+    """One fit of the bootstrap with its own calibration; a failed one has no model but a reason."""
+
+    number: int
+    model: object = None
+    calibration: tuple[str, object] = ("raw", None)
+    reason: str | None = None
+
+
+@dataclass
+class Trained:
+    """What scoring needs of an artifact: the chosen model, its calibration, the members and how many of them an interval needs."""
+
+    model: object
+    calibration: tuple[str, object]
+    members: list[Member]
+    needed: int
+
+
+def fit_members(train: DataFrame, validation: DataFrame, features: list[str], label: str, cluster: str, members: int, *, fit=fit_logistic, weight: bool = False, base_seed: int = SEED) -> list[Member]:
+    """The members of the cluster bootstrap: each fitted in the way that was chosen and calibrated on validation, which is never drawn from."""
+    if members < 1:
+        return []
+    times = bootstrap_multiplicities(train, cluster, members, base_seed=base_seed).persist()
+    out = []
     for m in range(members):
-        drawn = train.join(times.where(F.col("member") == m), cluster).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_copy", "member", "times")
+        drawn = train.join(times.where(F.col("member") == m), cluster).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("_copy", "member", "times").persist()
         if drawn.select(label).distinct().limit(2).count() < 2:
-            part = score.select(key, F.lit(m).alias("member"), F.lit(None).cast("double").alias("value"), F.lit("single_class").alias("reason"))
+            out.append(Member(m, reason="single_class"))
         else:
-            part = scored(fit_logistic(drawn, features, label), score, features).select(key, F.lit(m).alias("member"), F.col("probability_1").alias("value"), F.lit(None).cast("string").alias("reason"))
-        out = part if out is None else out.unionByName(part)
+            model = fit(drawn, features, label, weight=weight)
+            out.append(Member(m, model, calibrate(scored(model, validation, features), label)))
+        drawn.unpersist()
+    times.unpersist()
     return out
 
 
+def scored_with_interval(trained: Trained, df: DataFrame, features: list[str], key: str) -> DataFrame:
+    """Adds ``probability_1``, calibrated, and ``lower`` and ``upper`` from the calibrated scores of every member; ``key`` is unique."""
+    def one(model: object, calibration: tuple[str, object], d: DataFrame, out: str) -> DataFrame:
+        return calibrated(scored(model, d, features, "_raw"), calibration, "_raw", out).drop("_raw")
+
+    good = [m for m in trained.members if m.reason is None]
+    d = one(trained.model, trained.calibration, df, "probability_1")
+    if not good:
+        return d.withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double")})
+    names = [f"_member{m.number}" for m in good]
+    for i, (m, name) in enumerate(zip(good, names)):
+        d = one(m.model, m.calibration, d if i % 10 else checkpoint(d), name)  # a plan of a hundred models is too long
+    d = checkpoint(d)
+    each = d.select(key, "probability_1", F.explode(F.array(*names)).alias("value"))
+    return d.drop(*names).join(interval(each, key, "value", "probability_1", least=trained.needed).drop("n"), key)
+
+
 def readiness(*, model_status: str, calibration: str, members: int, needed: int, features: list[str], splits_ok: bool, test_ok: bool) -> str:
     """The first thing that keeps a model from being used, or ``ready``."""
     for status, bad in (("no_features", not features), ("insufficient_performance", model_status != "selected"), ("invalid_splits", not splits_ok), ("uncalibrated", calibration == "raw"),

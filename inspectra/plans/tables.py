@@ -67,8 +67,12 @@ def features(events: DataFrame, violations: DataFrame, jurisdiction: str) -> Dat
     return events.select("inspection_id", F.col("restaurant_id").alias("entity"), F.col("inspection_date").alias("day")).join(f, ["entity", "day"])
 
 
-def train(frame: DataFrame, columns: list[str], bounds: list[str], folder: str, *, jurisdiction: str, target: str, version: str, members: int = 0, needed: int = 20, boosted: bool = False, force: bool = False) -> str:
-    """Split, select, calibrate, measure and write the artifact; returns its readiness. ``frame`` has label, day, entity, inspection_id."""
+#: Members of the bootstrap.
+MEMBERS = 30
+
+
+def train(frame: DataFrame, columns: list[str], bounds: list[str], folder: str, *, jurisdiction: str, target: str, version: str, members: int = MEMBERS, needed: int = 20, boosted: bool = False, force: bool = False) -> str:
+    """Split, select, calibrate, measure, bootstrap and write the artifact; returns its readiness. ``frame`` has label, day, entity, inspection_id."""
     split = evaluation.chronological_split(frame, "day", bounds)
     part = {p: split.where(F.col("part") == p).drop("part").persist() for p in ("train", "validation", "test")}
     chosen = models.select_model(part["train"], part["validation"], columns, "label", boosted=boosted)
@@ -78,26 +82,28 @@ def train(frame: DataFrame, columns: list[str], bounds: list[str], folder: str,
         s = models.calibrated(models.scored(chosen.model, df, columns), calibration).withColumn("part", F.lit(p))
         row = evaluation.threshold_metrics(s, "label", "calibrated", ["part"]).join(evaluation.average_precision(s, "label", "calibrated", ["part"]), "part").join(evaluation.calibration_error(s, "label", "calibrated", ["part"]), "part").first()
         metrics[p] = row.asDict() if row else {}
-    good = 0
-    if members:
-        b = models.bootstrap_scores(part["train"], part["validation"].limit(1), columns, "label", "entity", members, key="inspection_id")
-        good = b.where("value IS NOT NULL").select("member").distinct().count()
-    status = models.readiness(model_status=chosen.status, calibration=calibration[0], members=good, needed=needed if members else 0, features=columns, splits_ok=all(m.get("rows") for m in metrics.values()), test_ok=bool(metrics["test"]))
+    fit = models.fit_boosted if chosen.name == "boosted" else models.fit_logistic
+    drawn = [] if isinstance(chosen.model, float) else models.fit_members(part["train"], part["validation"], columns, "label", "entity", members, fit=fit, weight=chosen.weighted)
+    good = sum(m.reason is None for m in drawn)
+    status = models.readiness(model_status=chosen.status, calibration=calibration[0], members=good, needed=needed, features=columns, splits_ok=all(m.get("rows") for m in metrics.values()), test_ok=bool(metrics["test"]))
     meta = {"jurisdiction": jurisdiction, "target": target, "version": version, "readiness": status, "model": chosen.name, "weighted": chosen.weighted, "calibration": calibration[0], "bounds": bounds, "seed": models.SEED}
-    write_artifact(folder, {"metadata.json": meta, "metrics.json": metrics, "features.json": columns, "model_card.md": model_card(meta, metrics)}, None if isinstance(chosen.model, float) else chosen.model, force=force)
+    kept = {"needed": needed, "members": [{"member": m.number, "calibration": m.calibration[0], "reason": m.reason} for m in drawn]}
+    more = {"calibration": calibration[1]} | {f"members/{m.number}/{k}": x for m in drawn for k, x in (("model", m.model), ("calibration", m.calibration[1]))}
+    write_artifact(folder, {"metadata.json": meta, "metrics.json": metrics, "features.json": columns, "calibration.json": {"method": calibration[0]}, "members.json": kept, "model_card.md": model_card(meta, metrics)},
+                   None if isinstance(chosen.model, float) else chosen.model, more=more, force=force)
     for df in part.values():
         df.unpersist()
     return status
 
 
-def score(model, events: DataFrame, violations: DataFrame, columns: list[str], *, jurisdiction: str, target: str, version: str, as_of: str, generated_at: Column) -> DataFrame:
-    """Predictions of every restaurant of the jurisdiction as of a day; only its own events are looked at."""
+def score(trained: models.Trained, events: DataFrame, violations: DataFrame, columns: list[str], *, jurisdiction: str, target: str, version: str, as_of: str, generated_at: Column) -> DataFrame:
+    """Calibrated predictions of every restaurant of the jurisdiction as of a day, with their intervals; only its own events are looked at."""
     own = events.where(F.col("jurisdiction") == jurisdiction)
     measures, counters = MEASURES[jurisdiction]
     days = day_table(own, jurisdiction)
     state = history.state_as_of(days, own.select(F.col("restaurant_id").alias("entity")), measures, as_of, counters)
-    s = models.scored(model, state.withColumns({c: F.lit(None).cast("double") for c in columns if c not in state.columns}), columns)
+    s = models.scored_with_interval(trained, state.withColumns({c: F.lit(None).cast("double") for c in columns if c not in state.columns}), columns, "entity")
     valid = "score_days" if jurisdiction == "nyc" else "high_days"
-    b = evaluation.banded(s.withColumns({"lower": F.lit(None).cast("double"), "upper": F.lit(None).cast("double")}), depth="history_depth", valid=valid, p="probability_1", lower="lower", upper="upper")
+    b = evaluation.banded(s, depth="history_depth", valid=valid, p="probability_1", lower="lower", upper="upper")
     return b.select(digest("pred:", F.col("entity"), F.lit(jurisdiction), F.lit(target), F.lit(version), F.lit(as_of)).alias("prediction_id"), F.col("entity").alias("restaurant_id"), F.lit(jurisdiction).alias("jurisdiction"), F.lit(target).alias("target"),
                     F.lit(version).alias("model_version"), F.lit(as_of).cast("date").alias("as_of_date"), generated_at.alias("generated_at"), F.col("probability_1").alias("probability"), "lower", "upper", "risk_band", "reason")

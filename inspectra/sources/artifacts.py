@@ -10,7 +10,7 @@ import tempfile
 from datetime import date
 
 MARKER, MANIFEST = "_SUCCESS", "manifest.json"
-ALLOWED = ["metadata.json", "metrics.json", "model_card.md", "features.json", "calibration.json"]
+ALLOWED = ["metadata.json", "metrics.json", "model_card.md", "features.json", "calibration.json", "members.json"]
 
 
 def _sum(path: str) -> str:
@@ -18,8 +18,8 @@ def _sum(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def write_artifact(folder: str, files: dict[str, object], model=None, *, force: bool = False) -> str:
-    """Write all files beside the target and swap them in; an existing artifact stays unless ``force``, and returns on failure."""
+def write_artifact(folder: str, files: dict[str, object], model=None, *, more: dict[str, object] | None = None, force: bool = False) -> str:
+    """Write all files, the model and ``more`` models by their subfolder beside the target and swap them in; an existing artifact stays unless ``force``, and returns on failure."""
     if os.path.exists(folder) and not force:
         raise FileExistsError(folder)
     parent = os.path.dirname(os.path.abspath(folder))
@@ -29,8 +29,9 @@ def write_artifact(folder: str, files: dict[str, object], model=None, *, force:
         for name, content in files.items():
             with open(os.path.join(stage, name), "w", encoding="utf-8") as f:
                 f.write(content if isinstance(content, str) else json.dumps(content, sort_keys=True, default=str, indent=1))
-        if model is not None:
-            model.write().overwrite().save(os.path.join(stage, "model"))
+        for name, m in ({"model": model} | (more or {})).items():
+            if m is not None:
+                m.write().overwrite().save(os.path.join(stage, name))
         inside = [os.path.relpath(os.path.join(d, n), stage) for d, _, ns in os.walk(stage) for n in ns]
         with open(os.path.join(stage, MANIFEST), "w", encoding="utf-8") as f:
             json.dump({n: _sum(os.path.join(stage, n)) for n in sorted(inside)}, f, indent=1)
@@ -86,15 +87,31 @@ def read_metadata(folder: str | None, *, jurisdiction: str, ready: bool = True,
 
 
 def load_model(folder: str, *, trusted: bool, jurisdiction: str):
-    """The pipeline of an artifact; only if the caller says it is trusted and every check passes."""
+    """The model of an artifact with its calibration and members (``models.Trained``); only if the caller says it is trusted and every check passes."""
     from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.regression import IsotonicRegressionModel
+
+    from inspectra.operators.models import Member, Trained
 
     if not trusted:
         raise PermissionError("an artifact is only loaded when trusted")
     meta, reason = read_metadata(folder, jurisdiction=jurisdiction)
     if meta is None:
         raise ValueError(f"artifact refused: {reason}")
-    return PipelineModel.load(os.path.join(folder, "model"))
+
+    def read(name: str) -> object:
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            return json.load(f)
+
+    def calibration(method: str, name: str) -> tuple[str, object]:
+        kinds = {"isotonic": IsotonicRegressionModel, "sigmoid": LogisticRegressionModel}
+        return method, kinds[method].load(os.path.join(folder, name)) if method in kinds else None
+
+    kept = read("members.json")
+    members = [Member(m["member"], reason=m["reason"]) if m["reason"] else Member(m["member"], PipelineModel.load(os.path.join(folder, f"members/{m['member']}/model")), calibration(m["calibration"], f"members/{m['member']}/calibration"))
+               for m in kept["members"]]
+    return Trained(PipelineModel.load(os.path.join(folder, "model")), calibration(read("calibration.json")["method"], "calibration"), members, kept["needed"])
 
 
 def model_card(meta: dict, metrics: dict) -> str:

@@ -1,11 +1,14 @@
 import hashlib
 import json
+import math
 import zipfile
 
 import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from inspectra import schemas
+from inspectra.operators import models
 from inspectra.plans import tables
 from inspectra.sources import artifacts, corpus, files
 from inspectra.streaming import state
@@ -117,3 +120,27 @@ def test_pipeline_from_extract_to_prediction(spark, tmp_path):
     model = artifacts.load_model(str(tmp_path / "artifact"), trusted=True, jurisdiction="nyc")
     p = tables.score(model, events, violations, columns, jurisdiction="nyc", target="score", version="1", as_of="2025-01-01", generated_at=F.lit("2025-01-02").cast("timestamp"))
     assert p.count() == 12 and p.where("risk_band = 'insufficient_history'").count() == 0 and p.select("prediction_id").distinct().count() == 12
+
+
+def test_scores_are_calibrated_and_have_the_intervals_of_the_members(spark, tmp_path):
+    raw = spark.createDataFrame([(str(40 + i % 12), f"2024-{1 + i // 20:02d}-{1 + i % 20:02d}", "Cycle Inspection / Initial Inspection", "Cited", "04L", "Mice", "Critical", str(5 + (i % 12) * 3), "A", None, "2025-01-01", f"Name {i % 12}") for i in range(240)],
+                                ", ".join(f"{c} string" for c in [*schemas.NYC_REQUIRED, "dba"]))
+    files.write_tables(tables.build_tables(raw, None), str(tmp_path))
+    events, violations = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("inspection_events", "violation_events"))
+    frame = tables.features(events, violations, "nyc").join(events.select("inspection_id", (F.col("score") >= 20).cast("int").alias("label")), "inspection_id").where("history_depth > 0").select("inspection_id", "entity", "day", "label", "score_mean").cache()
+    bounds, same = ["2024-01-01", "2024-07-01", "2024-10-01", "2025-01-01"], {"jurisdiction": "nyc", "target": "score", "version": "1"}
+    assert tables.train(frame, ["score_mean"], bounds, str(tmp_path / "none"), members=0, **same) == "insufficient_uncertainty"
+    folder = str(tmp_path / "artifact")
+    assert tables.train(frame, ["score_mean"], bounds, folder, members=4, needed=3, **same) == "ready"
+    trained = artifacts.load_model(folder, trusted=True, jurisdiction="nyc")
+    assert (tmp_path / "artifact" / "calibration.json").exists() and trained.calibration[0] == "sigmoid" and len(trained.members) == 4 and trained.needed == 3
+    one = lambda t: {r["restaurant_id"]: r for r in tables.score(t, events, violations, ["score_mean"], as_of="2025-01-01", generated_at=F.lit("2025-01-02").cast("timestamp"), **same).collect()}
+    got, raw_scores = one(trained), one(models.Trained(trained.model, ("raw", None), [], 3))
+    assert len(got) == 12 and all(0 <= r["lower"] <= r["probability"] <= r["upper"] <= 1 for r in got.values()) and any(r["lower"] < r["upper"] for r in got.values())
+    assert all(r["lower"] is None and r["upper"] is None for r in raw_scores.values())
+    b, a = trained.calibration[1].intercept, trained.calibration[1].coefficients[0]
+    assert all(abs(r["probability"] - 1 / (1 + math.exp(-(a * raw_scores[k]["probability"] + b)))) < 1e-9 for k, r in got.items())
+    assert any(abs(r["probability"] - raw_scores[k]["probability"]) > 1e-6 for k, r in got.items())
+    rows = spark.createDataFrame([(i, i / 10, i % 2) for i in range(11)], "k int, p double, label int")
+    iso = IsotonicRegression(featuresCol="probability_1", labelCol="label").fit(rows.select(F.col("p").alias("probability_1"), F.col("label").cast("double")))
+    assert models.calibrated(rows, ("isotonic", iso), "p").where("calibrated IS NOT NULL").count() == 11
