@@ -374,6 +374,13 @@ def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("record_no", nm.normal_text(F.col("name")).alias("normal"), nm.normal_name(F.col("name")).alias("bare"))
 
 
+@query()
+def normal_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every name, also those with characters that the SQL of ``normal_names`` cannot say."""
+    r = table(spark, sf_dir, "restaurants").where(F.col("name").isNotNull())
+    return r.select("record_no", nm.normal_text(F.col("name")).alias("normal"), nm.normal_name(F.col("name")).alias("bare"))
+
+
 @query("SELECT record_no, CASE WHEN len(d) >= 5 THEN substr(d, 1, 5) END AS zip5, CASE WHEN len(d) >= 9 THEN substr(d, 6, 4) END AS plus4 FROM (SELECT record_no, regexp_replace(postal_code, '\\D', '', 'g') AS d FROM restaurants)")
 def zip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = nm.zip_parts(F.col("postal_code"))

@@ -1,4 +1,5 @@
 import os
+import unicodedata
 from datetime import date
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inspectra.functions import names, similarity
 from inspectra.operators import evaluation, forms, graph, matching, models, questions, serving
+from inspectra.plans import domain_queries
 
 SIDE = "id string, jurisdiction string, name string, address string, city string, postal_code string, latitude double, longitude double"
 
@@ -147,3 +149,15 @@ def test_the_package_stands_without_the_llm_folder():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.modules['inspectra.llm'] = None; import __spark_entry__ as e; assert 'p1_found' in e.queries() and 'p2_found' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_every_name_is_normalised(spark, tmp_path):
+    texts = ["Joe’s “Grill”, LLC", "Tab\tBar", "Caf� Inc", "東京 Ramen Co", "ﬁne Dining", "Łódź & Sons", "Éclair", "plain name ltd", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "record_no long, name string").write.parquet(str(tmp_path / "restaurants.parquet"))
+
+    def brute(x):
+        x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold().replace("&", " and ")
+        return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "" if c in "'’" else " " for c in x).split())
+
+    got = {r["record_no"]: (r["normal"], r["bare"]) for r in domain_queries.normal_names_all(spark, str(tmp_path)).collect()}
+    assert got == {i: (brute(t), " ".join(w for w in brute(t).split() if w not in names.LEGAL)) for i, t in enumerate(texts) if t is not None}
