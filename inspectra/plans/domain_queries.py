@@ -577,7 +577,8 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tfidf_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions.tfidf_top(table(spark, sf_dir, "eval_items"), table(spark, sf_dir, "documents").where("source = 'guidance_page'"), doc="item_id", text="passage", query="doc_id", query_text="text")
+    d = table(spark, sf_dir, "documents")
+    return questions.tfidf_top(d.where("source = 'guidance_page'"), d.where("source = 'owner_qa'").select(F.col("doc_id").alias("question_id"), "text"), doc="doc_id", text="text", query="question_id", query_text="text", stop=questions.STOP)
 
 
 # -- forms ---------------------------------------------------------------------------------------------------------

@@ -161,3 +161,9 @@ def test_every_name_is_normalised(spark, tmp_path):
 
     got = {r["record_no"]: (r["normal"], r["bare"]) for r in domain_queries.normal_names_all(spark, str(tmp_path)).collect()}
     assert got == {i: (brute(t), " ".join(w for w in brute(t).split() if w not in names.LEGAL)) for i, t in enumerate(texts) if t is not None}
+
+
+def test_owner_questions_search_the_guidance_pages(spark, tmp_path):
+    docs = [("g1", "guidance_page", "the cold holding of food"), ("g2", "guidance_page", "hand washing and soap"), ("g3", "guidance_page", "who are you and what is this"), ("q1", "owner_qa", "what is the rule for hand washing"), ("q2", "owner_qa", "who are you"), ("x", "forum_crawl", "hand washing")]
+    spark.createDataFrame(docs, "doc_id string, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r["question_id"], r["doc_id"]) for r in domain_queries.tfidf_top(spark, str(tmp_path)).collect()] == [("q1", "g2")]
