@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Where the vocabulary files lie unless told otherwise; the pattern by which a text is cut before merging.
@@ -107,23 +107,26 @@ def pack(items: DataFrame, containers: DataFrame, *, item: str, size: str, kind:
     capacity or one below 1 are left out. ``containers`` is a small table of kinds (at most 1000 are read).
 
     Items are dealt to groups of about ``group_items``, each packed by one task on its own, so no group grows with the
-    data; all of a group's gaps but the last ones are used, which costs a few containers a group.
+    data; all of a group's gaps but the last ones are used, which costs a few containers a group. Groups and ties hang
+    on a hash of the item, not on the order of rows, so a task that runs again deals the same items to the same groups.
     """
     kinds = [(r[0], int(r[1])) for r in containers.select(kind, capacity).where(F.col(capacity) >= 1).distinct().orderBy(kind, capacity).limit(1000).collect()]
     schema = f"container_kind string, container_id string, item {items.schema[item].dataType.simpleString()}, part_no int, start long, size long"
     if not kinds:
         return items.sparkSession.createDataFrame([], schema)
     every = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).alias("capacity")) for k, c in kinds]))
-    sized = items.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.monotonically_increasing_id().alias("n"))
+    sized = items.select(F.col(item).alias("item"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"))
+    own = (F.col("item"), F.row_number().over(Window.partitionBy("item").orderBy("size")))  # rows of one item and size are alike
+    sized = sized.withColumn("n", F.concat(F.hex(F.xxhash64(*own)), F.hex(F.hash(*own))))
     sized = sized.select("item", "size", "n", every.alias("c")).select("item", "size", "n", "c.kind", "c.capacity")
     parts = F.when(F.col("size") > 0, F.sequence(F.lit(0), ((F.col("size") - 1) / F.col("capacity")).cast("int"))).otherwise(F.array(F.lit(0)))
     pieces = sized.select("item", "size", "n", "kind", "capacity", F.explode(parts).alias("part_no")).withColumn("start", F.col("part_no").cast("long") * F.col("capacity"))
     pieces = pieces.withColumn("size", F.greatest(F.lit(0), F.least(F.col("capacity").cast("long"), F.col("size") - F.col("start"))))
     full = pieces.where((F.col("size") == F.col("capacity")) | (F.col("size") == 0))
-    done = full.select("kind", F.when(F.col("size") > 0, F.concat(F.col("kind"), F.lit("-f"), F.hex("n"), F.lit("-"), F.col("part_no").cast("string"))).alias("container_id"), "item", "part_no", "start", "size")
+    done = full.select("kind", F.when(F.col("size") > 0, F.concat(F.col("kind"), F.lit("-f"), F.col("n"), F.lit("-"), F.col("part_no").cast("string"))).alias("container_id"), "item", "part_no", "start", "size")
     rest = pieces.where((F.col("size") < F.col("capacity")) & (F.col("size") > 0))
     groups = max(1, -(-items.count() // group_items))
-    rest = rest.withColumn("group", F.pmod(F.xxhash64("n"), F.lit(groups)).cast("int"))
+    rest = rest.withColumn("group", F.pmod(F.xxhash64("n", "part_no"), F.lit(groups)).cast("int"))
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "n", "part_no"], ascending=[False, True, True], kind="stable")

@@ -74,3 +74,10 @@ def test_tokens_of_long_texts_add_up(spark, monkeypatch):
     assert sum(len(enc.encode_ordinary(x)) for x in p.text_pieces(text)) == len(enc.encode_ordinary(text))
     df = spark.createDataFrame([(text,), ("",), (None,), ("one two",)], "t string")
     assert [r[0] for r in df.select(p.token_count(F.col("t"))).collect()] == [len(enc.encode_ordinary(text)), 0, 0, 2]
+
+
+def test_groups_do_not_hang_on_the_order_of_rows(spark, rows):
+    items = [(i // 2, 1 + (i * 7) % 30) for i in range(60)]
+    kinds = spark.createDataFrame([("small", 10)], "k string, cap int")
+    packed = lambda order, parts: rows(p.pack(spark.createDataFrame(order, "item long, size long").repartition(parts), kinds, item="item", size="size", kind="k", capacity="cap", group_items=10))
+    assert packed(items, 1) == packed(items[::-1], 5)
