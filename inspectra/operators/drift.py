@@ -93,22 +93,34 @@ def load_paths(files: DataFrame, rows: DataFrame, *, delimiters: list[str] | Non
     """``(file_id, row_no, position, path, value)``: each row as its map of path and raw value, one entry a row.
 
     The header of a file is parsed with the file's own delimiter. Entries without a header are named
-    ``column <n>``; a row shorter than the header lacks the rest. Delimiters and the width of the widest header are
-    read from the file table (one row a file) before the rows are parsed; parsing stays in the JVM.
+    ``column <n>``, also where the header has a blank cell; a row shorter than the header lacks the rest. Delimiters and
+    the width of the widest header are read from the file table (one row a file) before the rows are parsed; rows that
+    may be wider are parsed apart, with the width of the widest of them. Parsing stays in the JVM.
     """
     f = files.select("file_id", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), "header_line", "snapshot_date").where("file_id IS NOT NULL")
     if delimiters is None:
         delimiters = sorted(r[0] for r in f.select("delimiter").distinct().limit(64).collect() if r[0])
     widest = reduce(F.greatest, [F.length("header_line") - F.length(F.replace(F.col("header_line"), F.lit(d), F.lit(""))) for d in delimiters], F.lit(0)) if delimiters else F.lit(0)
     width = (f.agg(F.max(widest)).first()[0] or 0) + 1
-    header = F.transform(F.filter(split_fields(F.regexp_replace("header_line", r"^\x{FEFF}", ""), F.col("delimiter"), delimiters, width), lambda x: x.isNotNull()), clean_header)
-    heads = f.select("file_id", "delimiter", "snapshot_date", header.alias("_h"))
-    parsed = rows.where("raw_line IS NOT NULL").select("file_id", "row_no", "raw_line").join(heads, "file_id").select(
-        "file_id", "row_no", "snapshot_date", "_h", split_fields(F.col("raw_line"), F.col("delimiter"), delimiters, width).alias("_v"))
-    pair = F.transform("_h", lambda h, i: F.struct(i.alias("position"), h.alias("path"), F.try_element_at("_v", i + 1).alias("value")))
+    header = F.transform(split_fields(F.regexp_replace("header_line", r"^\x{FEFF}", ""), F.col("delimiter"), delimiters, width), clean_header)
+    heads = f.select("file_id", "delimiter", "snapshot_date", _without_end(header).alias("_h"))
+    lines = rows.where("raw_line IS NOT NULL").select("file_id", "row_no", "raw_line").join(heads, "file_id")
+    wide = 1 + F.length("raw_line") - F.length(F.replace("raw_line", "delimiter"))  # or less, as delimiters in quotes count
+    widest = lines.agg(F.max(wide)).first()[0] or 0
+    parse = lambda df, w: df.select("file_id", "row_no", "snapshot_date", "_h", _without_end(split_fields(F.col("raw_line"), F.col("delimiter"), delimiters, w)).alias("_v"))
+    parsed = parse(lines, width) if widest <= width else parse(lines.where(wide <= width), width).unionByName(parse(lines.where(wide > width), widest))
+    length = F.greatest(F.size("_h"), F.size("_v"))
+    pair = F.transform(F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
+        (i - 1).alias("position"), F.coalesce(F.try_element_at("_h", i), F.concat(F.lit("column "), i.cast("string"))).alias("path"), F.try_element_at("_v", i).alias("value")))
     return parsed.select("file_id", "row_no", "snapshot_date", F.explode(pair).alias("e")).select("file_id", "row_no", "snapshot_date", "e.*")
 
 
+def _without_end(cells: Column) -> Column:
+    """The cells up to the last one that is not NULL."""
+    last = F.aggregate(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)), F.lit(0), lambda a, i: F.greatest(a, i))
+    return F.when(cells.isNotNull(), F.slice(cells, 1, last)).otherwise(F.array().cast("array<string>"))
+
+
 def _with_profile(df: DataFrame) -> DataFrame:
     """Adds ``profile``: a coarse class of a value that survives a change of format, from ``value``, ``kind`` and ``snapshot_date``.
 
@@ -305,14 +317,16 @@ def consistent_rows(paths: DataFrame, lineage: DataFrame, kinds: DataFrame) -> D
 
     The type of a field is the kind that most of its non-blank values have over all files (a number if whole and
     decimal numbers together lead; a date likewise). ``failed`` marks a non-blank value that does not have that type.
+    Entries without a header have a field by their position.
     """
-    per = kinds.join(lineage, ["file_id", "path"]).groupBy("field").agg(
+    field = F.coalesce("field", F.lower(F.regexp_replace("path", r"[^\p{L}\p{N}]+", "_")))
+    per = kinds.join(lineage, ["file_id", "path"], "left").withColumn("field", field).groupBy("field").agg(
         F.sum(F.col("n_whole") + F.col("n_decimal")).alias("num"), F.sum(F.col("n_iso") + F.col("n_slash")).alias("dat"), F.sum("n_text").alias("txt"))
     typed = per.select("field", F.when((F.col("num") >= F.col("dat")) & (F.col("num") > F.col("txt")), "number").when(F.col("dat") > F.col("txt"), "date").otherwise("text").alias("type"))
     v = F.nullif(F.trim("value"), F.lit(""))
     number = F.when(F.col("type") == "number", F.expr("try_cast(trim(value) AS double)"))
     day = F.when(F.col("type") == "date", F.coalesce(F.try_to_date(F.substring(F.trim("value"), 1, 10), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(F.trim("value"), r"^[0-9]+/[0-9]+/[0-9]+", 0), "M/d/yyyy")))
-    out = paths.join(lineage.join(typed, "field"), ["file_id", "path"])
+    out = paths.join(lineage, ["file_id", "path"], "left").withColumn("field", field).join(typed, "field")
     return out.select("file_id", "row_no", "field", v.alias("value"), number.alias("number"), day.alias("day"),
                       (v.isNotNull() & (((F.col("type") == "number") & number.isNull()) | ((F.col("type") == "date") & day.isNull()))).alias("failed"))
 

@@ -55,3 +55,17 @@ def test_consistent_table_reports_failed_casts(spark):
     table = drift.consistent_rows(paths, drift.column_lineage(f, drift.schema_changes(f, r, stats=stats)), stats)
     assert {x["field"] for x in table.collect()} == {"establishment_id", "score"}
     assert [tuple(x) for x in drift.failed_casts(table).collect()] == [(1, "score", 3, 1)]
+
+
+def test_cells_without_a_header_are_kept_by_position(spark):
+    f = spark.createDataFrame([(1, "a", date(2024, 1, 1), ",", "camis,,score")], "file_id long, feed string, snapshot_date date, delimiter string, header_line string")
+    r = spark.createDataFrame([(1, 0, '40000001,x,12,5,"p, q"'), (1, 1, "40000002,,7,abc"), (1, 2, "40000003,z,8,6"), (1, 3, "40000004")], "file_id long, row_no int, raw_line string")
+    paths = drift.load_paths(f, r)
+    got = {(x["row_no"], x["path"]): x["value"] for x in paths.collect()}
+    assert got == {
+        (0, "camis"): "40000001", (0, "column 2"): "x", (0, "score"): "12", (0, "column 4"): "5", (0, "column 5"): "p, q", (1, "camis"): "40000002", (1, "column 2"): None, (1, "score"): "7", (1, "column 4"): "abc",
+        (2, "camis"): "40000003", (2, "column 2"): "z", (2, "score"): "8", (2, "column 4"): "6", (3, "camis"): "40000004", (3, "column 2"): None, (3, "score"): None}
+    stats = drift.path_statistics(paths)
+    table = drift.consistent_rows(paths, drift.column_lineage(f, drift.schema_changes(f, r, stats=stats)), stats)
+    assert {x["field"] for x in table.collect()} == {"establishment_id", "column_2", "score", "column_4", "column_5"}
+    assert [tuple(x) for x in drift.failed_casts(table).collect()] == [(1, "column_4", 3, 1)]
