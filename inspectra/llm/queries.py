@@ -35,11 +35,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = {"city": "city", "postal": "postal_code", "latitude": "latitude", "longitude": "longitude"}
+    place = {"city": "city", "postal": "postal_code", "latitude": "latitude", "longitude": "longitude"}
     seeds = table(spark, sf_dir, "michelin_seed_valid").where("nullif(trim(michelin_restaurant_id), '') IS NULL")
-    left = linkage.encode(seeds, name="name_as_published", address="address_as_published", keep=["seed_row_no"], holding=False, **columns)
-    records = table(spark, sf_dir, "restaurants").withColumn("restaurant_id", plain_id(F.col("restaurant_id"))).where("restaurant_id IS NOT NULL")
-    right = linkage.encode(records, name="name", address="address", keep=["record_no", "restaurant_id"], holding=True, **columns)
+    records = table(spark, sf_dir, "restaurants").withColumn("restaurant_id", plain_id(F.col("restaurant_id")))
+    left = linkage.Source(seeds, ("seed_row_no",), name="name_as_published", address="address_as_published", **place)
+    right = linkage.Source(records, ("record_no", "restaurant_id"), name="name", address="address", **place)
     return linkage.link(left, right, left_id="seed_row_no", right_id="record_no", entity="restaurant_id")
 
 
