@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +29,39 @@ def media_type(data: Column) -> Column:
     return F.when(h.startswith("255044462D"), "application/pdf").when(h == "89504E470D0A1A0A", "image/png").when(h.startswith("FFD8FF"), "image/jpeg")
 
 
-def labelled_values(text: Column, labels: list[str], stop: list[str]) -> Column:
-    """All values behind any of the labels on the same line, up to two blanks, a tab, another label or the line's end."""
-    words = "|".join(re.escape(s) for s in sorted(stop, key=len, reverse=True))
-    found = [F.regexp_extract_all(text, F.lit(rf"(?i){re.escape(label)}[ \t]*[:\-]?[ \t]*([^\n]{{1,80}}?)(?=\s{{2,}}|\t|(?:{words})\s*[:\-]|\n|$)"), F.lit(1)) for label in labels]
-    return F.filter(F.transform(F.concat(*found), lambda v: F.trim(v)), lambda v: v != "")
+#: Put behind a label, so that it is known again once the text is cut.
+_MARK = "\x01"
+
+
+def _any_of(labels: list[str]) -> str:
+    return "|".join(re.escape(x) for x in sorted(labels, key=len, reverse=True))
+
+
+def segments(text: Column, labels: list[str]) -> Column:
+    """The text cut before every label with a colon or hyphen and at line ends, tabs and wide gaps; labels carry a mark behind them.
+
+    A label without a separator starts no new segment, so a value may hold such a word.
+    """
+    own_line = F.regexp_replace(text, rf"(?i)({_any_of(labels)})[ \t]*[:-][ \t]*", f"\n$1{_MARK}")
+    marked = F.regexp_replace(own_line, rf"(?i)({_any_of(labels)})(?!{_MARK})(?=[ \t])", f"$1{_MARK}")
+    return F.split(marked, r"\n|\t| {2,}")
+
+
+def labelled_values(cut: Column, labels: list[str], *, longest: int = 80) -> Column:
+    """What follows any of the labels within its segment; blank values and those longer than ``longest`` are none."""
+    after = lambda label: F.transform(
+        F.filter(cut, lambda x: F.contains(F.lower(x), F.lit(label.lower() + _MARK))),
+        lambda x: F.trim(F.replace(F.regexp_extract(x, rf"(?i){re.escape(label)}{_MARK}(.*)", 1), F.lit(_MARK), F.lit(""))))
+    found = F.concat(*[after(label) for label in labels])
+    return F.filter(found, lambda v: (v != "") & (F.length(v) <= longest))
 
 
 def fields(documents: DataFrame, doc: str, text: str, labels: dict[str, list[str]]) -> DataFrame:
     """``(doc, field, value, status, n)``: one distinct value is it, several are ambiguous, none is missing."""
     stop = [x for v in labels.values() for x in v]
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), labelled_values(F.col(text), ls, stop).alias("v")) for f, ls in labels.items()]))
-    d = documents.select(F.col(doc), each.alias("e")).select(doc, "e.field", F.array_sort(F.array_distinct("e.v")).alias("distinct"), F.size("e.v").alias("n"))
+    cut = documents.select(F.col(doc), segments(F.col(text), stop).alias("_cut"))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), labelled_values(F.col("_cut"), ls).alias("v")) for f, ls in labels.items()]))
+    d = cut.select(F.col(doc), each.alias("e")).select(doc, "e.field", F.array_sort(F.array_distinct("e.v")).alias("distinct"), F.size("e.v").alias("n"))
     n = F.size("distinct")
     return d.select(doc, "field", F.when(n == 1, F.col("distinct")[0]).alias("value"), F.when(n == 0, "missing").when(n == 1, "found").otherwise("ambiguous").alias("status"), "n")
 
@@ -51,31 +71,36 @@ def confidence(n: Column, ocr: Column) -> Column:
     return F.struct(F.least(F.lit(0.95), 0.85 + 0.02 * (n - 1)).alias("confidence"), F.coalesce(ocr, F.lit(False)).alias("needs_review"))
 
 
-def _violations(texts: pd.Series) -> pd.Series:
-    code, text = re.compile(r"violation code\s*[:\-]?\s*(\S{1,20})", re.I), re.compile(r"(?:violation )?description\s*[:\-]?\s*([^\n]{1,200})", re.I)
+#: Labels of a citation's parts, and the lines after a code's own that still belong to it.
+CODE, DESCRIPTION, NEXT_LABELS, TRAILING_LINES = "Violation Code", ["Violation Description", "Description"], ["Critical Flag", "Score", "Grade", "Action"], 2
 
-    def one(t):
-        if not isinstance(t, str):
-            return []
-        out, lines = [], t.split("\n")
-        for i, line in enumerate(lines):
-            for m in code.finditer(line):
-                window = "\n".join([line[m.end():], *lines[i + 1 : i + 3]])
-                following = code.search(window)
-                window = window[: following.start()] if following else window
-                d = text.search(window)
-                low = window.lower()
-                critical = False if re.search(r"\bnot\s+critical\b|\bnon-?critical\b", low) else True if re.search(r"\bcritical\b", low) else None
-                out.append({"code": m.group(1), "description": d.group(1).strip() if d else None, "critical": critical})
-        return out
 
-    return texts.map(one)
+def _description(line: Column) -> Column:
+    """The text behind a description label of a line, up to a wide gap, a tab or another label; NULL if there is none."""
+    behind = F.regexp_extract(line, rf"(?i)(?:{_any_of(DESCRIPTION)})[ \t]*[:-]?[ \t]*(.*)$", 1)
+    value = F.element_at(F.split(behind, rf"(?i) {{2,}}|\t|(?:{_any_of([*DESCRIPTION, *NEXT_LABELS, CODE])})[ \t]*[:-]"), 1)
+    return F.nullif(F.trim(F.substring(value, 1, 200)), F.lit(""))
 
 
 def violation_rows(documents: DataFrame, doc: str, text: str) -> DataFrame:
-    """``(doc, code, description, critical)`` from a code and the text on its line or the next two."""
-    rows = F.pandas_udf(_violations, "array<struct<code:string,description:string,critical:boolean>>")
-    return documents.select(doc, F.explode(rows(F.col(text))).alias("v")).select(doc, "v.*")
+    """``(doc, code, description, critical)`` of each citation: a code behind its label, what its line and the next two say.
+
+    A code ends at a blank, comma or semicolon and loses a trailing full stop or colon. A description is looked for on the code's
+    line first, then on the next ones, up to the next code; nothing is inferred from a code. NULL and empty texts have no rows.
+    """
+    lines = F.split(F.col(text), "\n")
+    numbered = documents.select(doc, lines.alias("_lines"), F.posexplode(lines).alias("_i", "_line")).where(F.contains(F.lower("_line"), F.lit(CODE.lower())))
+    following = F.slice("_lines", F.col("_i") + 2, TRAILING_LINES)
+    own = F.aggregate(following, F.array().cast("array<string>"), lambda a, x: F.when(  # the lines before the next code
+        F.element_at(F.concat(F.array(F.lit("")), a), -1).isNull() | F.contains(F.lower(x), F.lit(CODE.lower())), F.array_append(a, F.lit(None).cast("string"))).otherwise(F.array_append(a, x)))
+    parts = F.split("_line", rf"(?i){re.escape(CODE)}[ \t]*[:-]?[ \t]*")
+    each = numbered.withColumn("_own", F.array_compact(own)).withColumn("_parts", parts).select(doc, "_own", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_k", "_part")).where("_k > 0")
+    code = F.nullif(F.regexp_replace(F.regexp_extract("_part", r"^([^\s,;]{1,20})", 1), r"[.,;:]+$", ""), F.lit(""))
+    candidates = F.concat(F.array(F.regexp_replace("_part", r"^[^\s,;]{1,20}", "")), F.when(F.col("_k") == F.col("_n") - 1, F.col("_own")).otherwise(F.array().cast("array<string>")))
+    each = each.select(doc, code.alias("code"), candidates.alias("_said")).where("code IS NOT NULL")
+    window = F.lower(F.array_join("_said", "\n"))
+    critical = F.when(window.rlike(r"\bnot\s+critical\b|\bnon-?critical\b"), False).when(window.rlike(r"\bcritical\b"), True)
+    return each.select(doc, "code", F.element_at(F.concat(F.array_compact(F.transform("_said", _description)), F.array(F.lit(None).cast("string"))), 1).alias("description"), critical.alias("critical"))
 
 
 def draft_status(found: DataFrame, doc: str, required: list[str]) -> DataFrame:
@@ -85,14 +110,25 @@ def draft_status(found: DataFrame, doc: str, required: list[str]) -> DataFrame:
     return g.withColumn("confirmable", (F.size("missing") == 0) & (F.size("ambiguous") == 0))
 
 
-def valid_blocks(blocks: DataFrame, *, pages: int = 100, per_page: int = 500, chars: int = 5000) -> DataFrame:
-    """Text blocks that obey the limits: page, length, source, finite ordered box, confidence only from OCR and in [0, 1]."""
+def block_problems(blocks: DataFrame, *, pages: int = 100, per_page: int = 500, chars: int = 5000) -> DataFrame:
+    """``(document_id, problem, blocks)``: why a document's blocks are rejected; the limits hold for page, length, source, box, confidence and number."""
     b = F.col("bounding_box")
-    box = b.isNull() | ((b["x0"] <= b["x1"]) & (b["y0"] <= b["y1"]) & ~F.isnan(b["x0"]) & ~F.isnan(b["x1"]) & ~F.isnan(b["y0"]) & ~F.isnan(b["y1"]) & (F.abs(b["x1"]) < 1e308) & (F.abs(b["y1"]) < 1e308))
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < 1e308)
+    box = b.isNull() | ((b["x0"] <= b["x1"]) & (b["y0"] <= b["y1"]) & finite(b["x0"]) & finite(b["x1"]) & finite(b["y0"]) & finite(b["y1"]))
     conf = F.when(F.col("source") == "ocr", F.col("ocr_confidence").between(0, 1)).otherwise(F.col("ocr_confidence").isNull())
-    w = Window.partitionBy("document_id", "page").orderBy("text")
-    ok = F.col("page").between(1, pages) & (F.length("text") <= chars) & F.col("source").isin("embedded_text", "ocr") & F.coalesce(box, F.lit(False)) & F.coalesce(conf, F.lit(False))
-    return blocks.where(ok).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_page).drop("_n")
+    holds = {
+        "page": F.col("page").between(1, pages), "text": F.length("text") <= chars, "source": F.col("source").isin("embedded_text", "ocr"), "bounding_box": box, "ocr_confidence": conf}
+    each = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), k) for k, ok in holds.items()]), lambda x: x.isNotNull())
+    bad = blocks.select("document_id", F.explode(each).alias("problem")).groupBy("document_id", "problem").agg(F.count("*").alias("blocks"))
+    full = blocks.groupBy("document_id", "page").agg(F.count("*").alias("n")).where(F.col("n") > per_page)
+    return bad.unionByName(full.groupBy("document_id").agg(F.lit("blocks_per_page").alias("problem"), F.sum("n").alias("blocks")))
+
+
+def valid_blocks(blocks: DataFrame, *, pages: int = 100, per_page: int = 500, chars: int = 5000) -> DataFrame:
+    """The blocks of the documents that obey all limits. A document with one bad block, or with too many blocks on a page, is
+    rejected as a whole (``block_problems`` tells why); no block is cut off."""
+    rejected = block_problems(blocks, pages=pages, per_page=per_page, chars=chars).select("document_id").distinct()
+    return blocks.join(rejected, "document_id", "left_anti")
 
 
 def checked_corrections(corrections: DataFrame, *, chars: int = 500, total: int = 20_000) -> DataFrame:

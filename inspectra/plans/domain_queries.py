@@ -365,18 +365,44 @@ def health_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- scalar functions ----------------------------------------------------------------------------------------------
 
-_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(strip_accents(name)), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+#: What compatibility decomposition and case folding make of characters that SQL leaves alone; fixed values.
+_COMPATIBLE = {
+    "ª": "a", "º": "o", "¹": "1", "²": "2", "³": "3", "¼": "1 4", "½": "1 2", "¾": "3 4", "™": "tm", "ß": "ss", "ﬁ": "fi", "ﬂ": "fl", "ˆ": " ",
+}
 
 
-@query(f"SELECT record_no, {_NORMAL} AS normal, array_to_string(list_filter(string_split({_NORMAL}, ' '), lambda x: x NOT IN ('llc', 'inc', 'corp', 'co', 'ltd', 'llp', 'lp')), ' ') AS bare FROM restaurants WHERE name IS NOT NULL AND NOT regexp_matches(name, '[^ -~À-ÿ]')")
-def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "restaurants").where(F.col("name").isNotNull() & ~F.col("name").rlike("[^ -~À-ÿ]"))
-    return r.select("record_no", nm.normal_text(F.col("name")).alias("normal"), nm.normal_name(F.col("name")).alias("bare"))
+def _normal(c: str) -> str:
+    for a, b in _COMPATIBLE.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    spaced = f"regexp_replace(regexp_replace(replace(lower(strip_accents({c})), '&', ' and '), '[''’]', '', 'g'), '[^a-z0-9 ]', ' ', 'g')"
+    return f"trim(regexp_replace({spaced}, ' +', ' ', 'g'))"
 
 
-@query()
-def normal_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every name, also those with characters that the SQL of ``normal_names`` cannot say."""
+def _sql_list(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _bare(c: str) -> str:
+    return f"array_to_string(list_filter(string_split({_normal(c)}, ' '), lambda x: x NOT IN ({_sql_list(nm.LEGAL)})), ' ')"
+
+
+_SHORT = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in (nm.SUFFIXES | nm.DIRECTIONS).items()) + "}"
+
+
+def _short_address(c: str) -> str:
+    body = _normal(f"regexp_replace({_clean(c)}, '(?i){nm.UNIT}', ' ', 'g')")
+    return f"array_to_string(list_transform(string_split({body}, ' '), lambda x: coalesce({_SHORT}[x], x)), ' ')"
+
+
+def _telling(name: str) -> str:
+    words = f"list_distinct(list_filter(string_split({name}, ' '), lambda x: x <> ''))"
+    kept = f"list_filter({words}, lambda x: x NOT IN ({_sql_list(nm.COMMON)}) AND length(x) > 1)"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {words} END"
+
+
+@query(f"SELECT record_no, {_normal('name')} AS normal, {_bare('name')} AS bare FROM restaurants WHERE name IS NOT NULL")
+def normal_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normal form of every name, with and without legal forms."""
     r = table(spark, sf_dir, "restaurants").where(F.col("name").isNotNull())
     return r.select("record_no", nm.normal_text(F.col("name")).alias("normal"), nm.normal_name(F.col("name")).alias("bare"))
 
@@ -387,10 +413,12 @@ def zip_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "restaurants").select("record_no", z["zip5"].alias("zip5"), z["plus4"].alias("plus4"))
 
 
-@query()
+@query(f"""SELECT record_no, {_short_address('address')} AS normal, lower({_squeeze(f"nullif(regexp_extract({_clean('address')}, '(?i){nm.UNIT}'), '')")}) AS unit,
+nullif(regexp_extract({_short_address('address')}, '^(\\d+)\\b', 1), '') AS number, list_sort({_telling("coalesce(normalized_name, '')")}) AS tokens FROM restaurants""")
 def normal_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = nm.normal_address(F.col("address"))
-    return table(spark, sf_dir, "restaurants").select("record_no", a["normal"].alias("normal"), a["unit"].alias("unit"), nm.street_number(a["normal"]).alias("number"), nm.telling_tokens(F.coalesce("normalized_name", F.lit(""))).alias("tokens"))
+    tokens = F.array_sort(nm.telling_tokens(F.coalesce("normalized_name", F.lit(""))))
+    return table(spark, sf_dir, "restaurants").select("record_no", a["normal"].alias("normal"), a["unit"].alias("unit"), nm.street_number(a["normal"]).alias("number"), tokens.alias("tokens"))
 
 
 @query(f"SELECT event_no, {_DIGEST.format('pred:', 'coalesce(inspection_id, chr(32)) || chr(31) || event_no::VARCHAR')} AS id FROM nyc_sample_expected WHERE inspection_id IS NOT NULL")
@@ -422,13 +450,22 @@ def display_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- matching ------------------------------------------------------------------------------------------------------
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    def side(df: DataFrame, key: str, jurisdiction: str, name: str, address: str) -> DataFrame:
-        num = lambda c: F.expr(f"try_cast({c} AS double)")
-        return df.select(F.col(key).cast("string").alias("id"), F.col(jurisdiction).alias("jurisdiction"), nm.normal_name(F.col(name)).alias("name"), nm.normal_address(F.col(address))["normal"].alias("address"), F.lower(ps.clean(F.col("city"))).alias("city"),
-                         nm.zip_parts(F.col("postal_code"))["zip5"].alias("postal_code"), num("latitude").alias("latitude"), num("longitude").alias("longitude"))
+def _published(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides as published, with their normal forms and numeric coordinates."""
+    def side(df: DataFrame, key: str, jurisdiction: str, name: str, address: str, *more: Column) -> DataFrame:
+        num = lambda c: F.col(c).try_cast("double").alias(c)
+        return df.select(
+            F.col(key).cast("string").alias("id"), F.col(jurisdiction).alias("jurisdiction"), F.col(name).alias("name_as_published"), F.col(address).alias("address_as_published"),
+            nm.normal_name(F.col(name)).alias("normalized_name"), nm.normal_address(F.col(address))["normal"].alias("normalized_address"), ps.clean(F.col("city")).alias("city"),
+            nm.zip_parts(F.col("postal_code"))["zip5"].alias("postal_code"), num("latitude"), num("longitude"), *more)
+
+    note = F.col("source_row_ref").alias("identity_source_note")
+    return (side(table(spark, sf_dir, "restaurants"), "record_no", "jurisdiction", "name", "address"),
+            side(table(spark, sf_dir, "michelin_seed_valid"), "seed_row_no", "jurisdiction_candidate", "name_as_published", "address_as_published", note))
+
 
-    return (side(table(spark, sf_dir, "restaurants"), "record_no", "jurisdiction", "name", "address"), side(table(spark, sf_dir, "michelin_seed_valid"), "seed_row_no", "jurisdiction_candidate", "name_as_published", "address_as_published"))
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(d.withColumnRenamed("normalized_name", "name").withColumnRenamed("normalized_address", "address") for d in _published(spark, sf_dir))
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -436,7 +473,26 @@ def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.strict_conflicts(matching.evidence(matching.candidate_pairs(a, b), a, b))
 
 
-@query()
+def _side_sql(key: str, jurisdiction: str, name: str, address: str, source: str) -> str:
+    return f"""SELECT {key}::VARCHAR AS id, {jurisdiction} AS j, {_bare(name)} AS name, {_short_address(address)} AS address, nullif({_normal(_clean('city'))}, '') AS city,
+CASE WHEN len(regexp_replace(postal_code, '\\D', '', 'g')) >= 5 THEN substr(regexp_replace(postal_code, '\\D', '', 'g'), 1, 5) END AS zip,
+try_cast(latitude AS DOUBLE) AS lat, try_cast(longitude AS DOUBLE) AS lon FROM {source}"""
+
+
+_BLOCKS = f"""
+a0 AS ({_side_sql('record_no', 'jurisdiction', 'name', 'address', 'restaurants')}),
+b0 AS ({_side_sql('seed_row_no', 'jurisdiction_candidate', 'name_as_published', 'address_as_published', 'michelin_seed_valid')}),
+a AS (SELECT *, nullif(regexp_extract(address, '^(\\d+)\\b', 1), '') AS num, {_telling('name')} AS tokens FROM a0),
+b AS (SELECT *, nullif(regexp_extract(address, '^(\\d+)\\b', 1), '') AS num, {_telling('name')} AS tokens FROM b0),
+met AS (
+  SELECT a.id AS l, b.id AS r, 0 AS rule FROM a JOIN b ON a.j = b.j AND a.zip = b.zip
+  UNION SELECT a.id, b.id, 1 FROM a JOIN b ON a.j = b.j AND a.city = b.city AND a.num = b.num
+  UNION SELECT a.id, b.id, 2 FROM (SELECT id, j, city, unnest(tokens) AS t FROM a) a JOIN (SELECT id, j, city, unnest(tokens) AS t FROM b) b ON a.j = b.j AND a.city = b.city AND a.t = b.t
+  UNION SELECT a.id, b.id, 3 FROM a JOIN b ON a.j = b.j AND abs(a.lat - b.lat) <= 0.02 WHERE NOT isnan(a.lat) AND NOT isnan(b.lat)
+    AND 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 2.0)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT l AS left_id, r AS right_id, list_transform(list_sort(list(rule)), lambda i: [{_sql_list(matching.RULES)}][i + 1]) AS rules FROM met GROUP BY l, r")
 def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.candidate_pairs(*_sides(spark, sf_dir))
 
@@ -449,7 +505,8 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "michelin_seed_valid").select(F.col("seed_row_no").cast("string").alias("award_id"), "guide_year", "distinction")
-    return matching.review_queue(_decided(spark, sf_dir), e).select("left_id", "right_id", "overall_score", "decision", "distinction_events")
+    generated = F.lit("2025-01-01 00:00:00").cast("timestamp")
+    return matching.review_queue(_decided(spark, sf_dir), *_published(spark, sf_dir), e, version="1", generated_at=generated)
 
 
 @query("SELECT id, pairs FROM (SELECT official_restaurant_id AS id, count(*) AS pairs FROM restaurant_michelin_matches WHERE decision = 'accept' GROUP BY 1 UNION ALL SELECT michelin_restaurant_id, count(*) FROM restaurant_michelin_matches WHERE decision = 'accept' GROUP BY 1) WHERE pairs > 1")

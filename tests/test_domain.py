@@ -17,7 +17,7 @@ def test_candidates_by_each_rule(spark):
     right = [("zip", "nyc", "x y", None, None, "11111", None, None), ("num", "nyc", "x y", "12 oak rd", "lake", None, None, None), ("tok", "nyc", "the heron bar", None, "LAKE", None, None, None), ("geo", "nyc", "x y", None, None, None, 40.01, -74.0),
              ("far", "nyc", "x y", None, None, None, 40.03, -74.0), ("fl", "florida", "golden heron", "12 elm st", "Lake", "11111", 40.0, -74.0), ("all", "nyc", "golden heron", "12 elm st", "Lake", "11111", 40.0, -74.0), ("none", "nyc", None, None, None, None, None, None)]
     got = {r["right_id"]: r["rules"] for r in matching.candidate_pairs(left, spark.createDataFrame(right, SIDE)).collect()}
-    assert got == {"zip": ["postal_code"], "num": ["street_number_city"], "tok": ["name_token_city"], "geo": ["geo_radius"], "all": matching.RULES}
+    assert got == {"zip": ["postal_code_exact"], "num": ["street_number_and_city"], "tok": ["shared_name_token_and_city"], "geo": ["geo_proximity"], "all": matching.RULES}
 
 
 def test_evidence_and_conflicts(spark):
@@ -38,7 +38,7 @@ def test_similarities():
 def test_normal_forms(spark):
     df = spark.createDataFrame([("Café D’Or & Sons, LLC.", "12 North Elm Street, Suite 4B"), (None, None), ("THE Bar", "#3")], "n string, a string")
     got = [tuple(r) for r in df.select(names.normal_name(F.col("n")), names.telling_tokens(names.normal_name(F.col("n"))), names.normal_address(F.col("a"))["normal"], names.normal_address(F.col("a"))["unit"]).collect()]
-    assert got[0] == ("cafe dor and sons", ["dor", "sons"], "12 n elm st", "suite 4b") and got[1][0] is None and got[2][1] == ["the", "bar"]
+    assert got[0] == ("cafe dor and sons", ["dor", "and", "sons"], "12 n elm st", "suite 4b") and got[1][0] is None and got[2][1] == ["the", "bar"]
 
 
 def test_metrics_against_definitions(spark):
@@ -126,6 +126,24 @@ def test_forms(spark):
     assert f["camis"] == ("found", "12345") and f["restaurant_name"] == ("found", "Joe's") and f["score"] == ("ambiguous", None) and f["grade"] == ("missing", None)
     assert [tuple(r) for r in forms.violation_rows(docs, "doc", "text").collect()] == [("a", "04L", "Mice seen", False), ("a", "10B", None, True)]
     assert docs.select(forms.jurisdiction(F.col("text"))).first()[0] == "nyc"
+    packed = "Violation Code: 04L, Description: Mice seen  Critical Flag: Critical\nViolation Code 08A.\nnothing here\nViolation Description - Holes in wall Critical Flag: Not Critical\nVIOLATION CODE: 02B\nDescription: Hot food Violation Code: 02G"
+    d = spark.createDataFrame([("p", packed, "clash")], "doc string, text string, code string")
+    assert [tuple(r) for r in forms.violation_rows(d, "doc", "text").collect()] == [
+        ("p", "04L", "Mice seen", True), ("p", "08A", "Holes in wall", False), ("p", "02B", None, None), ("p", "02G", None, None)]
+    v = spark.createDataFrame([("q", "Restaurant Name: The Score Bar\tGrade: " + "A" * 81 + "\nDBA:\nScore 7")], "doc string, text string")
+    g = {r["field"]: r["value"] for r in forms.fields(v, "doc", "text", forms.NYC_LABELS).collect()}
+    assert g["restaurant_name"] == "The Score Bar" and g["grade"] is None
+
+
+def test_blocks_beyond_a_limit_reject_the_document(spark):
+    box = "struct<x0:double,y0:double,x1:double,y1:double>"
+    schema = f"document_id string, page int, text string, source string, bounding_box {box}, ocr_confidence double"
+    ok = ("ok", 1, "a", "ocr", (0.0, 0.0, 1.0, 1.0), 0.9)
+    rows = [ok, ("bad", 1, "a", "ocr", None, 0.9), ("bad", 1, "b", "ocr", None, 1.2), ("inf", 1, "b", "embedded_text", (0.0, 0.0, float("inf"), 1.0), None)]
+    blocks = spark.createDataFrame(rows + [("many", 2, f"{i:03}", "embedded_text", None, None) for i in range(501)], schema)
+    assert {r["document_id"] for r in forms.valid_blocks(blocks).collect()} == {"ok"}
+    assert {(r["document_id"], r["problem"], r["blocks"]) for r in forms.block_problems(blocks).collect()} == {
+        ("bad", "ocr_confidence", 1), ("inf", "bounding_box", 1), ("many", "blocks_per_page", 501)}
     b = spark.createDataFrame([(bytearray(b"%PDF-1.7 x"),), (bytearray(b"\x89PNG\r\n\x1a\n.."),), (bytearray(b"\xff\xd8\xff\xe0"),), (bytearray(b"GIF"),)], "b binary")
     assert [r[0] for r in b.select(forms.media_type(F.col("b"))).collect()] == ["application/pdf", "image/png", "image/jpeg", None]
 
@@ -159,7 +177,7 @@ def test_every_name_is_normalised(spark, tmp_path):
         x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).casefold().replace("&", " and ")
         return " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "" if c in "'’" else " " for c in x).split())
 
-    got = {r["record_no"]: (r["normal"], r["bare"]) for r in domain_queries.normal_names_all(spark, str(tmp_path)).collect()}
+    got = {r["record_no"]: (r["normal"], r["bare"]) for r in domain_queries.normal_names(spark, str(tmp_path)).collect()}
     assert got == {i: (brute(t), " ".join(w for w in brute(t).split() if w not in names.LEGAL)) for i, t in enumerate(texts) if t is not None}
 
 
