@@ -2,6 +2,7 @@
 between consecutive files of a feed, and one consistent typed table with the casts that failed.
 
 Nothing is typed at load time: values stay text, and what a column holds is read from the statistics of its values.
+No list of headers is needed: that two headers name one thing is learnt from the transitions where their data tell it.
 """
 
 from __future__ import annotations
@@ -16,41 +17,6 @@ from inspectra.session import checkpoint
 
 WHOLE, DECIMAL, ISO, SLASH, TEXT = "whole number", "decimal number", "ISO date", "slash date", "text"
 
-#: What headers call one thing; a parameter of ``schema_changes``. Spellings are compared as letters and digits only.
-ALIASES: dict[str, list[str]] = {
-    "establishment_id": ["camis", "camis id", "restaurant no", "restaurant number", "establishment id", "establishment number"],
-    "name": ["dba", "dba name", "business (dba-does business as) name", "business name", "trade name", "doing business as"],
-    "borough": ["boro", "borough", "boro nm", "boro name"],
-    "building": ["building", "bldg no", "bldg", "building number", "house no", "house number"],
-    "street": ["street", "str name", "street name"],
-    "address": ["location address", "loc address", "street address", "address"],
-    "city": ["location city", "loc city", "city", "town"],
-    "postal_code": ["zipcode", "zip", "zip code", "zip+4", "postcode", "postal code", "location zip", "location zip code"],
-    "phone": ["phone", "tel", "telephone", "contact number", "phone number"],
-    "cuisine": ["cuisine description", "cuisine", "kitchen type"],
-    "inspection_date": ["inspection date", "insp date", "date of inspection", "visited on", "date of visit"],
-    "inspection_type": ["inspection type", "insp type", "kind of visit", "visit type"],
-    "record_date": ["record date", "recdate", "rec date", "as of", "as of date"],
-    "score": ["score", "points", "total pts", "total points"],
-    "latitude": ["latitude", "lat", "geo lat"],
-    "longitude": ["longitude", "lon", "lng", "geo lon", "geo lng"],
-    "license_type": ["license type code", "license type", "lic type cd", "lic type code", "profession"],
-    "license_number": ["license number", "lic number", "license no", "lic no"],
-    "inspection_number": ["inspection number", "insp#", "insp no", "inspection no", "caseno", "case no", "case number"],
-    "visit_number": ["visit number", "visit no", "visit seq"],
-    "disposition": ["inspection disposition", "disposition", "result", "insp disposition"],
-    "total_violations": ["number of total violations", "total violations", "total viol", "violations"],
-    "high_priority": ["number of high priority violations", "high priority", "high priority violations", "high viol"],
-    "visit_id": ["inspection visit id", "visit id"],
-    "inspector": ["inspector", "inspector badge", "badge ref", "badge"],
-    "fee": ["annual fee", "fee", "fee amt", "fee usd"],
-    "risk": ["risk", "risk tier", "tier code"],
-    "seats": ["seats", "seat count", "seating capacity"],
-    "next_visit_due": ["due on", "due date", "next visit due"],
-    "grade": ["grade"], "grade_date": ["grade date"], "violation_code": ["violation code"], "action": ["action"],
-    "violation_1": ["violation 01", "v 01", "viol 1"], "violation_2": ["violation 02", "v 02", "viol 2"],
-}
-
 #: Number words that stand for digits in a value.
 NUMBER_WORDS = {"first": 1, "second": 2, "third": 3, "fourth": 4, "fifth": 5, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5}
 
@@ -62,18 +28,19 @@ def clean_header(c: Column) -> Column:
     return F.regexp_replace(c, _OUTER, "")
 
 
-def split_fields(line: Column, delimiter: Column, delimiters: list[str], width: int) -> Column:
-    """The fields of one CSV line as an array of at most ``width`` strings; quotes are doubled inside quotes."""
-    def fields(d: str) -> Column:
-        schema = ", ".join(f"c{i} STRING" for i in range(width))
-        parsed = F.from_csv(line, schema, {"sep": d, "quote": '"', "escape": '"', "maxColumns": str(max(width * 4, 2000)), "maxCharsPerColumn": "-1"})
-        # bound to a variable first: the line is parsed once, not once a field
-        return F.element_at(F.transform(F.array(parsed), lambda p: F.array(*[p[f"c{i}"] for i in range(width)])), 1)
+def field_pattern(delimiter: Column) -> Column:
+    """A pattern for a delimiter and the field behind it: quoted (quotes are doubled inside) or up to the next delimiter."""
+    literal = F.concat(F.lit("\\Q"), delimiter, F.lit("\\E"))
+    escaped = F.when(delimiter.rlike("^[\\p{L}\\p{N}]$"), delimiter).otherwise(F.concat(F.lit("\\"), delimiter))
+    until = F.when(F.length(delimiter) == 1, F.concat(F.lit("[^"), escaped, F.lit("]*"))).otherwise(F.concat(F.lit("(?:(?!"), literal, F.lit(").)*")))
+    return F.concat(F.lit("(?s)"), literal, F.lit('("(?:[^"]|"")*"|'), until, F.lit(")"))
+
 
-    out = F.lit(None).cast("array<string>")
-    for d in delimiters:
-        out = F.when(delimiter == d, fields(d)).otherwise(out)
-    return out
+def split_fields(line: Column, delimiter: Column, pattern: Column) -> Column:
+    """The fields of one CSV line, blank ones as NULL; any number of fields and any delimiter, also of several characters."""
+    raw = F.regexp_extract_all(F.concat(delimiter, line), pattern, F.lit(1))
+    return F.transform(raw, lambda v: F.nullif(F.when(
+        F.startswith(v, F.lit('"')) & F.endswith(v, F.lit('"')) & (F.length(v) >= 2), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v), F.lit("")))
 
 
 def value_kind(v: Column) -> Column:
@@ -89,30 +56,38 @@ def value_kind(v: Column) -> Column:
     )
 
 
-def load_paths(files: DataFrame, rows: DataFrame, *, delimiters: list[str] | None = None) -> DataFrame:
-    """``(file_id, row_no, position, path, value)``: each row as its map of path and raw value, one entry a row.
+def parsed_headers(files: DataFrame) -> DataFrame:
+    """``(file_id, delimiter, pattern, snapshot_date, header)``: the header cells of each file, cleaned; blank cells stay as NULL."""
+    f = files.where("file_id IS NOT NULL").select(
+        "file_id", F.coalesce(F.nullif("delimiter", F.lit("")), F.lit(",")).alias("delimiter"), "snapshot_date", F.regexp_replace("header_line", r"^\x{FEFF}", "").alias("_line"))
+    f = f.withColumn("pattern", field_pattern(F.col("delimiter")))
+    cells = F.transform(split_fields(F.col("_line"), F.col("delimiter"), F.col("pattern")), lambda c: F.nullif(clean_header(c), F.lit("")))
+    return f.select("file_id", "delimiter", "pattern", "snapshot_date", F.coalesce(cells, F.array().cast("array<string>")).alias("header"))
+
 
-    The header of a file is parsed with the file's own delimiter. Entries without a header are named
-    ``column <n>``, also where the header has a blank cell; a row shorter than the header lacks the rest. Delimiters and
-    the width of the widest header are read from the file table (one row a file) before the rows are parsed; rows that
-    may be wider are parsed apart, with the width of the widest of them. Parsing stays in the JVM.
+def parsed_rows(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(file_id, row_no, snapshot_date, paths, values)``: each row parsed once with the delimiter of its file, in the JVM.
+
+    Entries without a header are named ``column <n>``, also where the header has a blank cell; a row shorter than the
+    header lacks the rest (NULL). Rows of unknown files and rows without a line are left out.
     """
-    f = files.select("file_id", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), "header_line", "snapshot_date").where("file_id IS NOT NULL")
-    if delimiters is None:
-        delimiters = sorted(r[0] for r in f.select("delimiter").distinct().limit(64).collect() if r[0])
-    widest = reduce(F.greatest, [F.length("header_line") - F.length(F.replace(F.col("header_line"), F.lit(d), F.lit(""))) for d in delimiters], F.lit(0)) if delimiters else F.lit(0)
-    width = (f.agg(F.max(widest)).first()[0] or 0) + 1
-    header = F.transform(split_fields(F.regexp_replace("header_line", r"^\x{FEFF}", ""), F.col("delimiter"), delimiters, width), clean_header)
-    heads = f.select("file_id", "delimiter", "snapshot_date", _without_end(header).alias("_h"))
-    lines = rows.where("raw_line IS NOT NULL").select("file_id", "row_no", "raw_line").join(heads, "file_id")
-    wide = 1 + F.length("raw_line") - F.length(F.replace("raw_line", "delimiter"))  # or less, as delimiters in quotes count
-    widest = lines.agg(F.max(wide)).first()[0] or 0
-    parse = lambda df, w: df.select("file_id", "row_no", "snapshot_date", "_h", _without_end(split_fields(F.col("raw_line"), F.col("delimiter"), delimiters, w)).alias("_v"))
-    parsed = parse(lines, width) if widest <= width else parse(lines.where(wide <= width), width).unionByName(parse(lines.where(wide > width), widest))
+    lines = rows.where("raw_line IS NOT NULL").select("file_id", "row_no", "raw_line").join(parsed_headers(files), "file_id")
+    split = lines.select("file_id", "row_no", "snapshot_date", _without_end(F.col("header")).alias("_h"), _without_end(split_fields(F.col("raw_line"), F.col("delimiter"), F.col("pattern"))).alias("_v"))
     length = F.greatest(F.size("_h"), F.size("_v"))
-    pair = F.transform(F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(
-        (i - 1).alias("position"), F.coalesce(F.try_element_at("_h", i), F.concat(F.lit("column "), i.cast("string"))).alias("path"), F.try_element_at("_v", i).alias("value")))
-    return parsed.select("file_id", "row_no", "snapshot_date", F.explode(pair).alias("e")).select("file_id", "row_no", "snapshot_date", "e.*")
+    each = F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>"))
+    path = lambda i: F.coalesce(F.try_element_at("_h", i), F.concat(F.lit("column "), i.cast("string")))
+    return split.select("file_id", "row_no", "snapshot_date", F.transform(each, path).alias("paths"), F.transform(each, lambda i: F.try_element_at("_v", i)).alias("values"))
+
+
+def paths_of(parsed: DataFrame) -> DataFrame:
+    """``(file_id, row_no, snapshot_date, position, path, value)``: the map of path and raw value of each parsed row, one entry a row."""
+    entries = F.posexplode(F.arrays_zip("paths", "values"))
+    return parsed.select("file_id", "row_no", "snapshot_date", entries.alias("position", "e")).select(
+        "file_id", "row_no", "snapshot_date", "position", F.col("e.paths").alias("path"), F.col("e.values").alias("value"))
+
+
+def load_paths(files: DataFrame, rows: DataFrame) -> DataFrame:
+    return paths_of(parsed_rows(files, rows))
 
 
 def _without_end(cells: Column) -> Column:
@@ -158,7 +133,8 @@ def path_statistics(paths: DataFrame) -> DataFrame:
     path. The sketch (theta, 4096 entries) is exact up to that many distinct values.
     """
     kind = value_kind(F.col("value"))
-    same = F.regexp_replace(F.regexp_replace(F.lower(F.trim("value")), r"\.0+$", ""), r"[^\p{L}\p{N}]|^(lt|sea|no)(?=[^\p{L}]*[0-9])", "")
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim("value")), r"\.0+$", ""), r"[^\p{L}\p{N}]", "")
+    same = F.regexp_replace(bare, r"^\p{L}{1,3}(?=[0-9]{3,}$)", "")  # an identifier with and without a short prefix
     each = _with_profile(paths.withColumn("kind", kind)).withColumn("same", F.when(F.col("kind").isNotNull(), same))
     by = ["file_id", "position", "path"]
     fine = each.groupBy(*by, "kind", "profile").agg(F.count("*").alias("n"), F.theta_sketch_agg("same", 12).alias("sketch"))
@@ -178,10 +154,9 @@ def _letters(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}#+]", "")
 
 
-def concept(c: Column, aliases: dict[str, list[str]] | None = None) -> Column:
-    """The concept a header names, NULL if it is in no list."""
-    known = {"".join(x for x in s.lower() if x.isalnum() or x in "#+"): k for k, names in (ALIASES if aliases is None else aliases).items() for s in [k, *names]}
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), _letters(c)) if known else F.lit(None).cast("string")
+def _header_words(c: Column) -> Column:
+    """The words of a header with three letters or more, lower case, each once."""
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
 def _assign(pairs: pd.Series) -> pd.Series:
@@ -204,11 +179,11 @@ def file_pairs(files: DataFrame) -> DataFrame:
     return files.where("file_id IS NOT NULL").select("file_id", F.lag("file_id").over(w).alias("prev_id")).where("prev_id IS NOT NULL")
 
 
-def rename_scores(gone: DataFrame, come: DataFrame, aliases: dict[str, list[str]] | None = None) -> DataFrame:
-    """Removed and added columns of one transition with the evidence that they hold the same data.
+def rename_evidence(gone: DataFrame, come: DataFrame) -> DataFrame:
+    """Removed and added columns of one transition with the evidence that they hold the same data, between 0 and 1.
 
-    Evidence: the histogram overlap of value profiles and the overlap of the values themselves, the concept or
-    the trigrams of the headers, and whether the column kept its neighbour.
+    ``content``: overlap of the histograms of value profiles or of the values themselves (``overlap``, if there are four);
+    ``slot``: the column kept a neighbour; ``name``: trigrams or words that the headers share; ``same``: they are spelt alike.
     """
     pairs = gone.join(come, "file_id")
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(_letters(c)) - 2)), lambda i: F.substring(_letters(c), i, F.lit(3)))
@@ -218,36 +193,83 @@ def rename_scores(gone: DataFrame, come: DataFrame, aliases: dict[str, list[str]
     hist = F.aggregate(F.map_keys("_p"), F.lit(0.0), lambda a, k: a + F.least(F.col("_p")[k] / n(F.col("old_histogram")), F.coalesce(F.try_element_at("_q", k), F.lit(0.0)) / n(F.col("new_histogram"))))
     least = F.least(F.theta_sketch_estimate("old_sketch"), F.theta_sketch_estimate("new_sketch"))
     overlap = F.coalesce(F.try_divide(F.theta_sketch_estimate(F.theta_intersection("old_sketch", "new_sketch")), least), F.lit(0.0))
-    a, b = concept(F.col("old_name"), aliases), concept(F.col("new_name"), aliases)
+    empty = (F.size("old_histogram") == 0) | (F.size("new_histogram") == 0)
+    pairs = pairs.withColumns({"_a": _letters(F.col("old_name")), "_b": _letters(F.col("new_name")), "_overlap": F.when(empty | (least < 4), 0.0).otherwise(overlap)})
     ga, gb = grams(F.col("old_name")), grams(F.col("new_name"))
     jaccard = F.size(F.array_intersect(ga, gb)) / F.size(F.array_union(ga, gb))
+    wa, wb = _header_words(F.col("old_name")), _header_words(F.col("new_name"))
+    common = F.filter(wa, lambda x: F.exists(wb, lambda y: F.startswith(x, y) | F.startswith(y, x)))
+    alike = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.size(common), F.least(F.size(wa), F.size(wb))), F.lit(0.0)))
     slot = F.when((F.col("old_left") == F.col("new_left")) | (F.col("old_right") == F.col("new_right")), 1.0).otherwise(0.0)
-    empty = (F.size("old_histogram") == 0) | (F.size("new_histogram") == 0)
-    scored = pairs.select(
-        "file_id", "old_name", "new_name", F.when(empty, 0.5).otherwise(F.greatest(hist, F.when(least >= 4, overlap).otherwise(0.0))).alias("content"),
-        F.when(empty, 0.0).otherwise(F.when(least >= 4, overlap).otherwise(0.0)).alias("overlap"), slot.alias("slot"),
-        F.when((a == b) | (_letters(F.col("old_name")) == _letters(F.col("new_name"))), 1.0).otherwise(jaccard).alias("name"), (a.isNotNull() & b.isNotNull() & (a != b)).alias("_other"),
-    )
+    return pairs.select(
+        "file_id", "old_name", "new_name", "_a", "_b", F.when(empty, 0.5).otherwise(F.greatest(hist, "_overlap")).alias("content"), F.col("_overlap").alias("overlap"),
+        slot.alias("slot"), (F.col("_a") == F.col("_b")).alias("same"), F.greatest(jaccard, alike).alias("name"))
+
+
+def rename_scores(evidence: DataFrame, known: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
+    """Adds ``score`` to the evidence; NULL where two columns do not hold the same data.
+
+    ``known(a, b, support)`` holds pairs of headers that name one thing in other transitions than this one (whose own pairs are in
+    ``chosen``): such a pair needs little of the data, nothing if several transitions say so, while two headers that are both
+    known, but not as one thing, need the same values in the same place.
+    """
+    if known is None:
+        e = evidence.withColumns({"support": F.lit(0).cast("long"), "other": F.lit(False)})
+    else:
+        named = known.select("a").distinct()
+        e = evidence.join(known.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("support").alias("_support")), ["_a", "_b"], "left")
+        e = e.join(named.select(F.col("a").alias("_a"), F.lit(True).alias("_ka")), "_a", "left").join(named.select(F.col("a").alias("_b"), F.lit(True).alias("_kb")), "_b", "left")
+        e = e.join(chosen.select("file_id", "old_name", "new_name", F.lit(1).alias("_own")), ["file_id", "old_name", "new_name"], "left")
+        other = F.coalesce(F.col("_ka") & F.col("_kb") & F.col("_support").isNull(), F.lit(False))
+        e = e.withColumns({"other": other, "support": F.coalesce(F.col("_support") - F.coalesce("_own", F.lit(0)), F.lit(0))})
     unknown = 0.55 * F.col("content") + 0.25 * F.col("slot") + 0.2 * F.col("name")
+    few = (F.col("support") == 1) & (F.col("content") + 0.25 * F.col("slot") >= 0.1)
     score = (
-        F.when((_letters(F.col("old_name")) == _letters(F.col("new_name"))) | ((F.col("name") == 1.0) & (F.col("content") >= 0.1)), 1.0 + F.col("content"))
-        .when(F.col("_other"), F.when((F.col("overlap") >= 0.8) & (F.col("slot") == 1.0), F.col("overlap") * 0.6))
+        F.when(F.col("same"), 2.0 + F.col("content"))
+        .when((F.col("support") > 1) | few, 1.0 + 0.5 * F.col("content") + 0.1 * F.col("slot") + 0.5 * F.col("support") / (F.col("support") + 1))
+        .when(F.col("other"), F.when((F.col("overlap") >= 0.8) & (F.col("slot") == 1.0), 0.6 * F.col("overlap")))
         .when((F.col("content") >= 0.4) & (unknown >= 0.6), unknown)
     )
-    return scored.withColumn("score", score)
+    return e.select("file_id", "old_name", "new_name", score.alias("score"))
 
 
-def schema_changes(files: DataFrame, rows: DataFrame, *, aliases: dict[str, list[str]] | None = None, stats: DataFrame | None = None) -> DataFrame:
+def learnt_names(chosen: DataFrame, heads: DataFrame) -> DataFrame:
+    """``(a, b, support)``: pairs of headers (letters and digits only) that name one thing, with the number of transitions that say so.
+
+    Pairs come from chosen renames, either way round, and from pairs with a common partner. Headers that stand together
+    in one file name different things. There is one row a pair of spellings, however many files there are.
+    """
+    direct = chosen.select(_letters(F.col("old_name")).alias("a"), _letters(F.col("new_name")).alias("b")).where("a <> b")
+    direct = direct.unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("support"))
+    spelt = heads.select("file_id", _letters(F.col("path")).alias("x")).distinct()
+    sets = spelt.groupBy("file_id").agg(F.array_sort(F.collect_set("x")).alias("xs")).select("xs").distinct()  # layouts, not files
+    together = sets.select(F.explode("xs").alias("a"), "xs").select("a", F.explode("xs").alias("b")).where("a <> b").distinct()
+    direct = checkpoint(direct.join(together, ["a", "b"], "left_anti"))
+    onward = direct.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("support").alias("s"))
+    through = direct.join(onward, "b").where("a <> c").groupBy("a", F.col("c").alias("b")).agg(F.max(F.least("support", "s")).alias("support"))
+    through = through.join(together, ["a", "b"], "left_anti").join(direct, ["a", "b"], "left_anti")
+    return checkpoint(direct.unionByName(through))
+
+
+def _one_to_one(scored: DataFrame) -> DataFrame:
+    """``(file_id, old_name, new_name)``: of the scored pairs of a file the best ones, each column used once."""
+    pick = F.pandas_udf(_assign, "array<struct<old_name:string,new_name:string>>")
+    listed = scored.where("score IS NOT NULL").groupBy("file_id").agg(F.collect_list(F.struct("old_name", "new_name", "score")).alias("p"))
+    return listed.select("file_id", F.explode(pick("p")).alias("p")).select("file_id", "p.*")
+
+
+def schema_changes(files: DataFrame, rows: DataFrame, *, stats: DataFrame | None = None, learn: bool = True) -> DataFrame:
     """``(file_id, change_kind, old_name, new_name)`` of each file against the one before it in its feed.
 
     ``added`` and ``removed`` leave the other name empty; ``renamed`` is the same data under another header;
     ``retyped`` is a change of kind between the old and the new name of a column. A column with no value in
     either file has no kind and is not retyped. Columns are compared by exact name without outer blanks and
     byte-order mark; a name used twice in one file counts once, with its first position. Files without rows still
-    have columns. The last step pairs removed with added columns of one file, both bounded by its header.
+    have columns; blank header cells are no columns. Removed and added columns of one file, both bounded by its header, are paired
+    twice: by their data and spelling alone, then also by what the first round has learnt of the headers (``learn``).
     """
     stats = path_statistics(load_paths(files, rows)) if stats is None else stats
-    heads = header_columns(files)
+    heads = checkpoint(header_columns(files))
     s = heads.join(stats.drop("position").groupBy("file_id", "path").agg(
         F.min_by("kind", "n_blank").alias("kind"), F.flatten(F.collect_list("histogram")).alias("histogram"), F.theta_union_agg("sketch").alias("sketch")), ["file_id", "path"], "left")
     s = s.withColumn("histogram", F.coalesce("histogram", F.array().cast("array<struct<profile:string,n:bigint>>")))
@@ -261,9 +283,11 @@ def schema_changes(files: DataFrame, rows: DataFrame, *, aliases: dict[str, list
     both = checkpoint(both)
     gone = both.where("new_name IS NULL").select("file_id", "old_name", "old_kind", "old_left", "old_right", "old_histogram", "old_sketch")
     come = both.where("old_name IS NULL").select("file_id", "new_name", "new_kind", "new_left", "new_right", "new_histogram", "new_sketch")
-    scored = rename_scores(gone, come, aliases).where("score IS NOT NULL")
-    pick = F.pandas_udf(_assign, "array<struct<old_name:string,new_name:string>>")
-    chosen = scored.groupBy("file_id").agg(F.collect_list(F.struct("old_name", "new_name", "score")).alias("p")).select("file_id", F.explode(pick("p")).alias("p")).select("file_id", "p.*")
+    evidence = checkpoint(rename_evidence(gone, come))
+    chosen = _one_to_one(rename_scores(evidence))
+    if learn:
+        chosen = checkpoint(chosen)
+        chosen = _one_to_one(rename_scores(evidence, learnt_names(chosen, heads), chosen))
     renamed = chosen.join(gone.select("file_id", "old_name", "old_kind"), ["file_id", "old_name"]).join(come.select("file_id", "new_name", "new_kind"), ["file_id", "new_name"])
     renamed = checkpoint(renamed)
     kept = both.where("old_name IS NOT NULL AND new_name IS NOT NULL").select("file_id", "old_name", "new_name", "old_kind", "new_kind").unionByName(renamed)
@@ -279,23 +303,23 @@ def schema_changes(files: DataFrame, rows: DataFrame, *, aliases: dict[str, list
 
 def header_columns(files: DataFrame) -> DataFrame:
     """``(file_id, path, left, right)``: the columns each header declares, with their neighbours' names."""
-    delimiters = sorted(r[0] for r in files.select(F.coalesce("delimiter", F.lit(","))).distinct().limit(64).collect() if r[0])
-    f = files.where("file_id IS NOT NULL").select("file_id", F.coalesce("delimiter", F.lit(",")).alias("delimiter"), F.regexp_replace("header_line", r"^\x{FEFF}", "").alias("h"))
-    widest = reduce(F.greatest, [F.length("h") - F.length(F.replace(F.col("h"), F.lit(d), F.lit(""))) for d in delimiters], F.lit(0)) if delimiters else F.lit(0)
-    width = (f.agg(F.max(widest)).first()[0] or 0) + 1
-    cells = f.select("file_id", F.transform(F.filter(split_fields(F.col("h"), F.col("delimiter"), delimiters, width), lambda x: x.isNotNull()), clean_header).alias("_h"))
-    each = F.transform("_h", lambda h, i: F.struct(h.alias("path"), F.when(i == 0, "<").otherwise(F.try_element_at("_h", F.greatest(i, F.lit(1)))).alias("left"), F.coalesce(F.try_element_at("_h", i + 2), F.lit(">")).alias("right"), i.alias("i")))
-    return cells.select("file_id", F.explode(each).alias("c")).select("file_id", "c.*").groupBy("file_id", "path").agg(F.min_by(F.struct("left", "right"), "i").alias("n")).select("file_id", "path", "n.left", "n.right")
+    h = parsed_headers(files).select("file_id", _without_end(F.col("header")).alias("_h"))
+    each = F.transform("_h", lambda c, i: F.struct(
+        c.alias("path"), F.when(i == 0, "<").otherwise(F.coalesce(F.try_element_at("_h", F.greatest(i, F.lit(1))), F.lit(""))).alias("left"),
+        F.when(i + 1 == F.size("_h"), ">").otherwise(F.coalesce(F.try_element_at("_h", i + 2), F.lit(""))).alias("right"), i.alias("i")))
+    named = h.select("file_id", F.explode(each).alias("c")).select("file_id", "c.*").where("path IS NOT NULL")
+    return named.groupBy("file_id", "path").agg(F.min_by(F.struct("left", "right"), "i").alias("n")).select("file_id", "path", "n.left", "n.right")
 
 
-def column_lineage(files: DataFrame, changes: DataFrame, *, aliases: dict[str, list[str]] | None = None) -> DataFrame:
+def column_lineage(files: DataFrame, changes: DataFrame) -> DataFrame:
     """``(file_id, path, field)``: the field of the consistent table that each column of each file feeds.
 
     A column is followed back through its renames to the first header it had (pointer doubling, so the number of
-    joins is the logarithm of the longest chain of files); the field is the concept of that header, else the
-    header itself in lower case with underscores.
+    joins is the logarithm of the longest chain of files). Roots of several feeds are one field if their headers are
+    spelt alike or renames tie them together (the commonest spelling names the field), unless a file holds both.
     """
-    own = header_columns(files).select("file_id", "path").withColumn("id", F.concat_ws("\x1f", F.col("file_id").cast("string"), "path"))
+    heads = checkpoint(header_columns(files).select("file_id", "path"))
+    own = heads.withColumn("id", F.concat_ws("\x1f", F.col("file_id").cast("string"), "path"))
     renames = changes.where("change_kind = 'renamed'").select("file_id", F.col("new_name").alias("path"), "old_name")
     added = changes.where("change_kind = 'added'").select("file_id", F.col("new_name").alias("path"), F.lit(True).alias("_new"))
     parent = own.join(file_pairs(files), "file_id", "left").join(renames, ["file_id", "path"], "left").join(added, ["file_id", "path"], "left").select(
@@ -308,27 +332,78 @@ def column_lineage(files: DataFrame, changes: DataFrame, *, aliases: dict[str, l
         parent = nxt.select("file_id", "path", "id", F.col("next").alias("root"))
         if not moved:
             break
-    first = F.substring_index("root", "\x1f", -1)
-    return parent.select("file_id", "path", F.coalesce(concept(first, aliases), concept(F.col("path"), aliases), F.lower(F.regexp_replace(first, r"[^\p{L}\p{N}]+", "_"))).alias("field"))
+    return _named_fields(parent, renames, heads)
+
+
+def _named_fields(parent: DataFrame, renames: DataFrame, heads: DataFrame) -> DataFrame:
+    """Gives roots of several feeds one name: spellings that renames tie together are one group (labels spread over the pairs)."""
+    first = parent.withColumn("spelt", _letters(F.substring_index("root", "\x1f", -1)))
+    known = learnt_names(renames.select("file_id", "old_name", F.col("path").alias("new_name")), heads)
+    used = first.groupBy("spelt").agg(F.count("*").alias("n"), F.max(F.lower(F.regexp_replace(F.substring_index("root", "\x1f", -1), r"[^\p{L}\p{N}]+", "_"))).alias("name"))
+    label = used.select("spelt", F.struct((-F.col("n")).alias("n"), "name").alias("best"))
+    while True:  # as many rounds as the longest chain of spellings has steps
+        label = checkpoint(label)
+        near = known.join(label.withColumnRenamed("spelt", "b"), "b").groupBy(F.col("a").alias("spelt")).agg(F.min("best").alias("_near"))
+        nxt = label.join(near, "spelt", "left").select("spelt", F.least("best", "_near").alias("best"), (F.col("_near") < F.col("best")).alias("_moved"))
+        moved = nxt.where("_moved").limit(1).count()
+        label = nxt.drop("_moved")
+        if not moved:
+            break
+    named = first.join(label.select("spelt", F.col("best.name").alias("field")), "spelt", "left")
+    own = F.lower(F.regexp_replace(F.substring_index("root", "\x1f", -1), r"[^\p{L}\p{N}]+", "_"))
+    shared = named.groupBy("file_id", "field").agg(F.count("*").alias("_n")).where("_n > 1").select("field").distinct().withColumn("_shared", F.lit(True))
+    named = named.join(shared, "field", "left")
+    return named.select("file_id", "path", F.when(F.coalesce("_shared", F.lit(False)), own).otherwise(F.col("field")).alias("field"))
+
+
+def field_types(lineage: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``(file_id, path, field, type)``: the type of a field is the kind that most of its non-blank values have over all files
+    (a number if whole and decimal numbers together lead; a date likewise). Entries without a header have a field by their position."""
+    field = F.coalesce("field", F.lower(F.regexp_replace("path", r"[^\p{L}\p{N}]+", "_")))
+    each = kinds.join(lineage, ["file_id", "path"], "left").withColumn("field", field)
+    per = each.groupBy("field").agg(F.sum(F.col("n_whole") + F.col("n_decimal")).alias("num"), F.sum(F.col("n_iso") + F.col("n_slash")).alias("dat"), F.sum("n_text").alias("txt"))
+    number, day = (F.col("num") >= F.col("dat")) & (F.col("num") > F.col("txt")), F.col("dat") > F.col("txt")
+    typed = per.select("field", F.when(number, "number").when(day, "date").otherwise("text").alias("type"))
+    return each.select("file_id", "path", "field").distinct().join(typed, "field").select("file_id", "path", "field", "type")
+
+
+def as_number(v: Column) -> Column:
+    return F.trim(v).try_cast("double")
 
 
-def consistent_rows(paths: DataFrame, lineage: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``(file_id, row_no, field, value, number, day, failed)``: every value of every row under its field, typed.
+def as_day(v: Column) -> Column:
+    iso, slash = F.try_to_date(F.substring(F.trim(v), 1, 10), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(F.trim(v), r"^[0-9]+/[0-9]+/[0-9]+", 0), "M/d/yyyy")
+    return F.coalesce(iso, slash)
 
-    The type of a field is the kind that most of its non-blank values have over all files (a number if whole and
-    decimal numbers together lead; a date likewise). ``failed`` marks a non-blank value that does not have that type.
-    Entries without a header have a field by their position.
+
+def consistent_table(parsed: DataFrame, types: DataFrame) -> DataFrame:
+    """``(file_id, row_no, <field> ...)``: one wide table with a typed column a field, NULL where a file lacks it or a cast fails.
+
+    The fields of each file's columns travel as one small map a file; rows are neither exploded nor regrouped. Several
+    columns of a file with one field (repeated headers) give the first value. The list of fields, one a distinct column over all
+    files, is read to the driver, as it is the schema of the result.
+    """
+    fields = [(r["field"], r["type"]) for r in types.select("field", "type").distinct().orderBy("field").collect()]
+    maps = types.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "field"))).alias("_fields"))
+    named = parsed.join(maps, "file_id").select("file_id", "row_no", F.transform("paths", lambda p: F.try_element_at("_fields", p)).alias("_f"), "values")
+
+    def column(field: str, kind: str) -> Column:
+        v = F.nullif(F.trim(F.try_element_at("values", F.nullif(F.array_position("_f", field), F.lit(0)).cast("int"))), F.lit(""))
+        typed = as_number(v) if kind == "number" else as_day(v) if kind == "date" else v
+        return typed.alias(field if field not in ("file_id", "row_no") else f"{field}_value")
+
+    return named.select("file_id", "row_no", *[column(*f) for f in fields])
+
+
+def consistent_rows(paths: DataFrame, types: DataFrame) -> DataFrame:
+    """``(file_id, row_no, field, value, number, day, failed)``: every value of every row under its field, typed, in long form.
+
+    ``failed`` marks a non-blank value that does not have the type of its field.
     """
-    field = F.coalesce("field", F.lower(F.regexp_replace("path", r"[^\p{L}\p{N}]+", "_")))
-    per = kinds.join(lineage, ["file_id", "path"], "left").withColumn("field", field).groupBy("field").agg(
-        F.sum(F.col("n_whole") + F.col("n_decimal")).alias("num"), F.sum(F.col("n_iso") + F.col("n_slash")).alias("dat"), F.sum("n_text").alias("txt"))
-    typed = per.select("field", F.when((F.col("num") >= F.col("dat")) & (F.col("num") > F.col("txt")), "number").when(F.col("dat") > F.col("txt"), "date").otherwise("text").alias("type"))
     v = F.nullif(F.trim("value"), F.lit(""))
-    number = F.when(F.col("type") == "number", F.expr("try_cast(trim(value) AS double)"))
-    day = F.when(F.col("type") == "date", F.coalesce(F.try_to_date(F.substring(F.trim("value"), 1, 10), "yyyy-MM-dd"), F.try_to_date(F.regexp_extract(F.trim("value"), r"^[0-9]+/[0-9]+/[0-9]+", 0), "M/d/yyyy")))
-    out = paths.join(lineage, ["file_id", "path"], "left").withColumn("field", field).join(typed, "field")
-    return out.select("file_id", "row_no", "field", v.alias("value"), number.alias("number"), day.alias("day"),
-                      (v.isNotNull() & (((F.col("type") == "number") & number.isNull()) | ((F.col("type") == "date") & day.isNull()))).alias("failed"))
+    number, day = F.when(F.col("type") == "number", as_number(F.col("value"))), F.when(F.col("type") == "date", as_day(F.col("value")))
+    failed = v.isNotNull() & (((F.col("type") == "number") & number.isNull()) | ((F.col("type") == "date") & day.isNull()))
+    return paths.join(types, ["file_id", "path"]).select("file_id", "row_no", "field", v.alias("value"), number.alias("number"), day.alias("day"), failed.alias("failed"))
 
 
 def failed_casts(consistent: DataFrame) -> DataFrame:

@@ -75,20 +75,22 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(table(spark, sf_dir, "extract_files"), table(spark, sf_dir, "extract_rows"))
 
 
-def _consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The files' rows, parsed once and kept, and the field and type of each column."""
     files, rows = table(spark, sf_dir, "extract_files"), table(spark, sf_dir, "extract_rows")
-    paths = drift.load_paths(files, rows)
-    stats = drift.checkpoint(drift.path_statistics(paths))
-    lineage = drift.checkpoint(drift.column_lineage(files, drift.schema_changes(files, rows, stats=stats)))
-    return drift.consistent_rows(paths, lineage, stats)
+    parsed = drift.checkpoint(drift.parsed_rows(files, rows))
+    stats = drift.checkpoint(drift.path_statistics(drift.paths_of(parsed)))
+    lineage = drift.column_lineage(files, drift.checkpoint(drift.schema_changes(files, rows, stats=stats)))
+    return parsed, drift.checkpoint(drift.field_types(lineage, stats))
 
 
 def p6_consistent_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _consistent(spark, sf_dir)
+    return drift.consistent_table(*_typed(spark, sf_dir))
 
 
 def p6_failed_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.failed_casts(_consistent(spark, sf_dir))
+    parsed, types = _typed(spark, sf_dir)
+    return drift.failed_casts(drift.consistent_rows(drift.paths_of(parsed), types))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_orphan_report, p1_current_orphans, p5_found, p5_trailing_totals, p6_found, p6_consistent_table, p6_failed_casts)}
