@@ -4,7 +4,7 @@ A text is cut into blocks of at most ``BLOCK_WORDS`` words within a paragraph. T
 compressed; how far the ratio lies below that of usual blocks of its language and length is its redundancy, whatever
 the order of the words. Extreme redundancy makes a block spam, and so does clear redundancy with few sentence ends.
 Less redundant blocks are suspects, above all those with few sentence ends; they are confirmed by their words, compared
-with the words of the blocks that compression alone has found (a classifier fitted on a bounded sample of documents).
+with the words of the blocks that compression alone has found (a classifier fitted on the blocks of all documents).
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ DENSE, SPARSE = 0.6, 1.1
 DISTINCT = 0.35
 #: Sentence ends per word under which a block is no running text.
 FEW_SENTENCES = 0.03
-#: Documents that the words of suspects are learnt from, at most (chosen by a hash), and the slots that words are hashed to.
-SAMPLE_DOCS, SLOTS = 20_000, 1 << 18
+#: Slots that words are hashed to.
+SLOTS = 1 << 18
 
 #: Frequent function words, by which the language of a text is told.
 FUNCTION_WORDS = {
@@ -104,7 +104,7 @@ _BLOCK = "array<struct<tokens:int,words:int,lang:string,ratio:double,ends:double
 
 
 def _measure(texts: pd.Series, sampled: pd.Series) -> pd.Series:
-    """The measures of the blocks of each text; the distinct words of suspects and of sampled documents as slots."""
+    """The measures of the blocks of each text; the distinct words of suspects and of documents to learn from as slots."""
     def one(text, keep):
         if not isinstance(text, str) or not text.strip():
             return []
@@ -122,10 +122,15 @@ def _measure(texts: pd.Series, sampled: pd.Series) -> pd.Series:
     return pd.Series([one(t, k) for t, k in zip(texts, sampled)])
 
 
-def measured_blocks(docs: DataFrame, doc_id: str, text: str, *, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """One row a block: document, tokens, words, language, compression ratio, sentence ends a token, and whether it is in the sample."""
-    share = min(1.0, sample_docs / max(1, docs.count()))
-    sampled = F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+def measured_blocks(docs: DataFrame, doc_id: str, text: str, *, sample_docs: int | None = None) -> DataFrame:
+    """One row a block: document, tokens, words, language, compression ratio, sentence ends a token, and whether its words are learnt from.
+
+    They are, in every document; only a caller who gives ``sample_docs`` has them learnt from about so many, chosen by a hash.
+    """
+    sampled = F.lit(True)
+    if sample_docs is not None:
+        share = min(1.0, sample_docs / max(1, docs.count()))
+        sampled = F.pmod(F.xxhash64(F.col(doc_id), F.length(text)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), sampled.alias("sampled"))
     each = d.select("doc_id", "sampled", F.explode(F.pandas_udf(_measure, _BLOCK)(F.col("text"), F.col("sampled"))).alias("b"))
     return each.select("doc_id", "sampled", "b.*").withColumn("size", F.floor(2 * F.log2("words")).cast("int"))
@@ -146,7 +151,7 @@ def redundant(relative: Column, ends: Column, words: Column) -> Column:
 def word_weights(each: DataFrame) -> np.ndarray:
     """For each slot how much likelier its words are in redundant blocks than in running text (log of the ratio, 0 if unseen).
 
-    Learnt from the blocks of the sampled documents alone; one row a slot reaches the driver, ``SLOTS`` at most.
+    Counted where they lie, with map-side combine; one row a slot reaches the driver, ``SLOTS`` at most.
     """
     found = redundant(F.col("relative"), F.col("ends"), F.col("words"))
     running = (F.col("relative") >= 0.6) & (F.col("ends") >= FEW_SENTENCES)
@@ -168,7 +173,7 @@ def _weigher(weights: np.ndarray):
     return F.pandas_udf(weigh, "double")
 
 
-def spam_blocks(docs: DataFrame, doc_id: str, text: str, *, sample_docs: int = SAMPLE_DOCS, words: bool = True) -> DataFrame:
+def spam_blocks(docs: DataFrame, doc_id: str, text: str, *, sample_docs: int | None = None, words: bool = True) -> DataFrame:
     """Every block of every document with its measures and whether it is spam; ``words=False`` leaves out the check of the words.
 
     Texts are read and measured once, and numbers are kept. A block of a language and length that no usual block has
@@ -188,7 +193,7 @@ def spam_blocks(docs: DataFrame, doc_id: str, text: str, *, sample_docs: int = S
     return each.withColumn("spam", found | (suspect & (weight > 0))).drop("sampled", "terms")
 
 
-def spam_pages(docs: DataFrame, doc_id: str, text: str, *, min_share: float = 0.5, sample_docs: int = SAMPLE_DOCS, words: bool = True) -> DataFrame:
+def spam_pages(docs: DataFrame, doc_id: str, text: str, *, min_share: float = 0.5, sample_docs: int | None = None, words: bool = True) -> DataFrame:
     """``(doc_id, share, words)`` of the documents in which more than ``min_share`` of the words stand in spam blocks.
 
     NULL, empty and wordless texts are none; repeated ids are taken together. An empty table gives an empty result.

@@ -65,6 +65,17 @@ def test_a_sample_of_documents_suffices_for_the_words(spark):
     assert {g.rsplit(" ", 1)[0] for g in got} <= set(SPAM) and len(got) >= 0.9 * 6 * len(SPAM)
 
 
+def test_words_are_learnt_from_every_document(spark):
+    """More documents than the 20,000 that words were once learnt from."""
+    long = spark.range(20_400).selectExpr("id AS i", "concat('The cook kept a log of the ice room on day x', translate(id, '0123456789', 'abcdefghij'), '. It was fine.') AS t")
+    redundant = spark.createDataFrame([(-1, SPAM["unseen"])], "i long, t string")
+    each = spam.measured_blocks(long.unionByName(redundant), "i", "t")
+    assert each.where("terms IS NULL").count() == 0 and each.count() == 20_401
+    weights = spam.word_weights(each.selectExpr("*", "IF(doc_id < 0, 0.1, 1.0) AS relative"))
+    seen = {spam.slot("x" + str(i).translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(20_400)}
+    assert all(weights[s] != 0 for s in seen)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert spam.spam_pages(spark.createDataFrame([], "i long, t string"), "i", "t").count() == 0
     docs = spark.createDataFrame([(1, SPAM["unseen"])] * 2 + [(2, _talk(9))] + [(i, _talk(12)) for i in range(3, 60)], "i long, t string")
