@@ -1,4 +1,5 @@
 import os
+import random
 import unicodedata
 from datetime import date
 
@@ -29,6 +30,40 @@ def test_evidence_and_conflicts(spark):
     assert e["o3", "a2"]["required_evidence_missing"] == ["address_similarity"] and e["o3", "a2"]["conflicting_evidence"] == ["postal_code_conflict"] and e["o3", "a2"]["overall_score"] <= 0.9
 
 
+def _random_sides(spark):
+    """Entities that meet by any rule and by several, by several words, across cells, with blanks, NULLs and rivals."""
+    rng = random.Random(7)
+    def rows(p, n):
+        pick = lambda *xs: rng.choice(xs)
+        return [(f"{p}{i}", pick("nyc", "nyc", "florida", None), " ".join(rng.sample(["blue", "heron", "cafe", "the", "taqueria", "joes", "oak"], rng.randint(0, 4))) if i % 9 else None,
+                 pick("12 oak st", "12 oak street n", "40 elm ave", "elm ave", "", None), pick("Miami", "MIAMI ", "Tampa", "", None), pick("33101", "33102", "10001", None),
+                 pick(25.7, 25.701, 25.74, 62.0, None), pick(-80.2, -80.202, -80.17, None)) for i in range(n)]
+    sure = ("nyc", "paper moon", "9 pine rd", "Ocala", "34470", None, None)
+    make = lambda p, n: spark.createDataFrame([(p, *sure), *rows(p, n)], SIDE)
+    return make("o", 120).localCheckpoint(), make("a", 40).localCheckpoint()
+
+
+def test_decided_pairs_without_a_shuffle_of_pairs(spark, rows):
+    a, b = _random_sides(spark)
+    pairs = matching.candidate_pairs(a, b)
+    assert rows(matching.met_pairs(a, b).select("left_id", "right_id", "rules")) == rows(pairs) == rows(matching.met_pairs(a, b, hot=3).select("left_id", "right_id", "rules"))
+    shown = ["left_id", "right_id", "rules", "name_similarity", "address_similarity", "city_region_match", "distance_km", "overall_score", "decision", "conflicting_candidates", "required_evidence_missing", "conflicting_evidence"]
+    whole = matching.strict_conflicts(matching.evidence(pairs, a, b)).select(*shown)
+    got = matching.decided_pairs(a, b)
+    assert rows(got.select(*shown)) == rows(whole) and {r["decision"] for r in whole.collect()} == {"accept", "review", "reject"}
+    plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString().split("Join")[0]
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_similarities_of_many_pairs_are_those_of_each():
+    rng = random.Random(5)
+    texts = ["", "a", "a a", " x  y ", "é ü", "q" * 64, "q" * 65, "ab" * 32, "word " * 30] + [" ".join(rng.choices(["blue", "heron", "cafe", "joes", "oak", "taqueria"], k=rng.randint(1, 9))) for _ in range(60)]
+    pairs = [(x, y) for x in texts for y in texts]
+    assert list(similarity._indels(pairs)) == [similarity.indel(x, y) for x, y in pairs]
+    assert list(similarity._partials(pairs)) == [similarity.partial(x, y) for x, y in pairs]
+    assert list(similarity.mean_ratios(*map(list, zip(*pairs)))) == [(similarity.sorted_ratio(x, y) + similarity.set_ratio(x, y) + similarity.weighted_ratio(x, y)) / 3 for x, y in pairs]
+
+
 def test_similarities():
     assert similarity.indel("abcd", "abxd") == 0.75 and similarity.indel("", "") == 1.0
     assert similarity.sorted_ratio("rosa cafe", "cafe rosa") == 1.0 and similarity.set_ratio("cafe rosa", "cafe rosa lake") == 1.0
