@@ -55,6 +55,14 @@ def test_decided_pairs_without_a_shuffle_of_pairs(spark, rows):
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_reviewable_pairs_without_a_shuffle_of_rejected_ones(spark, rows):
+    a, b = _random_sides(spark)
+    shown = ["left_id", "right_id", "rules", "overall_score", "decision", "conflicting_candidates"]
+    whole = matching.strict_conflicts(matching.evidence(matching.candidate_pairs(a, b), a, b)).where("decision <> 'reject'")
+    got = matching.reviewable_pairs(a, b)
+    assert rows(got.select(*shown)) == rows(whole.select(*shown))
+
+
 def test_similarities_of_many_pairs_are_those_of_each():
     rng = random.Random(5)
     texts = ["", "a", "a a", " x  y ", "é ü", "q" * 64, "q" * 65, "ab" * 32, "word " * 30] + [" ".join(rng.choices(["blue", "heron", "cafe", "joes", "oak", "taqueria"], k=rng.randint(1, 9))) for _ in range(60)]
