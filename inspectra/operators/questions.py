@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,24 +73,65 @@ def tokens(text: Column, stop: list[str] | None = None) -> Column:
 
 
 def tfidf_top(documents: DataFrame, queries: DataFrame, *, doc: str, text: str, query: str, query_text: str, k: int = 5, least: float = 0.05, stop: list[str] | None = None) -> DataFrame:
-    """``(query, doc, score)``: the ``k`` documents with the highest cosine to each query, at least ``least``.
+    """``(query, doc, score)``: the ``k`` documents with the highest cosine to each query, at least ``least``; ties by document.
 
-    Weights are counts times ``ln((1 + n) / (1 + df)) + 1`` over documents. Postings are joined on the term, so only
-    documents that share a term with a query meet it; norms are computed once a document.
+    Weights are counts times ``ln((1 + n) / (1 + df)) + 1`` over documents. A block of queries meets a block of documents as
+    whole vectors in one task, which keeps the best ``k`` a query; so what is moved are vectors, never pairs. Terms go as
+    64-bit hashes. Sums run in the order of the terms, so that equal texts have equal scores.
     """
-    post = lambda df, i, t: df.select(F.col(i).alias("id"), F.explode(tokens(F.col(t), stop)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    post = lambda df, i, t: df.where(F.col(i).isNotNull()).select(F.col(i).alias("id"), F.explode(F.transform(tokens(F.col(t), stop), lambda w: F.xxhash64(w))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     d, q = post(documents, doc, text), post(queries, query, query_text)
-    n = documents.count()
+    n, asked = documents.count(), queries.count()
     idf = d.groupBy("term").agg((F.log(F.lit(1.0 + n) / (1.0 + F.count("*"))) + 1.0).alias("idf"))
     rest = F.log(F.lit(1.0 + n)) + 1.0
-    w = lambda df, how: df.join(idf, "term", how).withColumn("w", F.col("tf") * F.coalesce("idf", rest))
-    dw, qw = w(d, "inner"), w(q, "left")
-    norm = lambda x: x.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = qw.select(F.col("id").alias("q"), "term", F.col("w").alias("qv")).join(dw.select(F.col("id").alias("d"), "term", F.col("w").alias("dv")), "term").groupBy("q", "d").agg(F.sum(F.col("qv") * F.col("dv")).alias("dot"))
-    s = dot.join(norm(qw).select(F.col("id").alias("q"), F.col("norm").alias("nq")), "q").join(norm(dw).select(F.col("id").alias("d"), F.col("norm").alias("nd")), "d")
-    s = s.select("q", "d", (F.col("dot") / (F.col("nq") * F.col("nd"))).alias("score")).where(F.col("score") >= least)
+    by = -(-max(1, n) // BLOCK)
+    of = max(-(-max(1, asked) // BLOCK), documents.sparkSession.sparkContext.defaultParallelism)
+
+    def vectors(post: DataFrame, how: str, own: int, others: int, key) -> DataFrame:
+        """A row a text and block of the other side, with its terms in order."""
+        v = post.join(idf, "term", how).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("term", (F.col("tf") * F.coalesce("idf", rest)).alias("w")))).alias("v"))
+        v = v.select("id", F.col("v.term").alias("terms"), F.col("v.w").alias("w"), F.pmod(F.xxhash64("id"), F.lit(own)).alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
+        return v.select(key(F.col("own"), F.col("other")).alias("cell"), "id", "terms", "w")
+
+    left, right = vectors(q, "left", of, by, lambda own, other: own * by + other), vectors(d, "inner", by, of, lambda own, other: other * by + own)
+    types = f"q {dict(q.dtypes)['id']}, d {dict(d.dtypes)['id']}, score double"
+    best = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(lambda a, b: _best(a, b, k, least), types)
     win = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("d"))
-    return s.withColumn("_r", F.row_number().over(win)).where(F.col("_r") <= k).select(F.col("q").alias(query), F.col("d").alias(doc), "score")
+    return best.withColumn("_r", F.row_number().over(win)).where(F.col("_r") <= k).select(F.col("q").alias(query), F.col("d").alias(doc), "score")
+
+
+#: Texts of a side that meet in one task.
+BLOCK = 20_000
+
+
+def _best(queries: pd.DataFrame, documents: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """The best documents of each query, by postings of the documents; ``terms`` are in order in each row."""
+    if queries.empty or documents.empty:
+        return pd.DataFrame({"q": queries["id"][:0], "d": documents["id"][:0], "score": np.empty(0)})
+    documents = documents.sort_values("id", ignore_index=True)
+    sizes = documents["terms"].map(len).to_numpy()
+    norms = np.array([np.sqrt(np.sum(w * w)) for w in documents["w"]])
+    terms, weights, rows = np.concatenate(documents["terms"].to_list()), np.concatenate(documents["w"].to_list()), np.repeat(np.arange(len(documents)), sizes)
+    order = np.argsort(terms, kind="stable")
+    terms, weights, rows = terms[order], weights[order], rows[order]
+    known, start = np.unique(terms, return_index=True)
+    end = np.append(start[1:], len(terms))
+    q_out, d_out, s_out = [], [], []
+    for qid, q_terms, q_w in zip(queries["id"], queries["terms"], queries["w"]):
+        sums = np.zeros(len(documents))
+        at = np.minimum(np.searchsorted(known, q_terms), len(known) - 1)
+        for j in np.flatnonzero(known[at] == q_terms):
+            own = slice(start[at[j]], end[at[j]])
+            sums[rows[own]] += q_w[j] * weights[own]
+        scores = sums / (np.sqrt(np.sum(q_w * q_w)) * norms)
+        found = np.flatnonzero((scores >= least) & (sums > 0))
+        if len(found) > k:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
+            found = found[np.argsort(-scores[found], kind="stable")][:k]
+        q_out += [qid] * len(found)
+        d_out.append(found)
+        s_out.append(scores[found])
+    return pd.DataFrame({"q": pd.Series(q_out, dtype=queries["id"].dtype), "d": documents["id"].to_numpy()[np.concatenate(d_out)], "score": np.concatenate(s_out)})
 
 
 # What evidence a claim may rest on.

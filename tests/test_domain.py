@@ -1,6 +1,8 @@
+import math
 import os
 import random
 import unicodedata
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -63,6 +65,30 @@ def test_reviewable_pairs_without_a_shuffle_of_rejected_ones(spark, rows):
     assert rows(got.select(*shown)) == rows(whole.select(*shown))
 
 
+def test_search_moves_no_pairs_and_equals_brute_force(spark, monkeypatch):
+    """Blocks on both sides, equal texts (ties by document), repeated words, unknown words and blank texts."""
+    monkeypatch.setattr(questions, "BLOCK", 7)
+    rng = random.Random(11)
+    text = lambda: " ".join(rng.choices(["soap", "sink", "ice", "log", "rice", "fish", "melon", "grill"], k=rng.randint(0, 6)))
+    docs, asked = [(f"d{i:02}", text()) for i in range(40)], [(i, text() + " zorp" * (i % 2)) for i in range(30)]
+    docs += [(f"e{i}", docs[i][1]) for i in range(15)]
+    df = Counter(w for _, t in docs for w in set(t.split()))
+    idf = lambda w: math.log((1 + len(docs)) / (1 + df[w])) + 1
+    vector = lambda t: {w: c * idf(w) for w, c in sorted(Counter(t.split()).items())}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = set()
+    for q, t in asked:
+        a, scored = vector(t), []
+        for d, u in docs:
+            b = vector(u)
+            if (dot := sum(a[w] * b[w] for w in a if w in b)) > 0 and dot / norm(a) / norm(b) >= 0.05:
+                scored.append((-round(dot / norm(a) / norm(b), 9), d))
+        want |= {(q, d, -s) for s, d in sorted(scored)[:3]}
+    top = questions.tfidf_top(spark.createDataFrame(docs, "d string, t string"), spark.createDataFrame(asked, "q int, t string"), doc="d", text="t", query="q", query_text="t", k=3)
+    assert {(r["q"], r["d"], round(r["score"], 9)) for r in top.collect()} == want
+    assert top.schema.simpleString() == "struct<q:int,d:string,score:double>" and "FlatMapCoGroupsInPandas" in top._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_similarities_of_many_pairs_are_those_of_each():
     rng = random.Random(5)
     texts = ["", "a", "a a", " x  y ", "é ü", "q" * 64, "q" * 65, "ab" * 32, "word " * 30] + [" ".join(rng.choices(["blue", "heron", "cafe", "joes", "oak", "taqueria"], k=rng.randint(1, 9))) for _ in range(60)]
