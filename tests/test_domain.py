@@ -5,10 +5,11 @@ import unicodedata
 from collections import Counter
 from datetime import date
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from inspectra.functions import names, similarity
+from inspectra.functions import bounds, names, similarity
 from inspectra.operators import evaluation, forms, graph, matching, models, questions, serving
 from inspectra.plans import domain_queries
 
@@ -65,6 +66,49 @@ def test_reviewable_pairs_without_a_shuffle_of_rejected_ones(spark, rows):
     assert rows(got.select(*shown)) == rows(whole.select(*shown))
 
 
+@pytest.mark.parametrize("listed", [1, 10**9])
+def test_bounds_leave_out_rejected_pairs_only(monkeypatch, listed):
+    """Against the score of every pair: repeated, shared and unknown words, blanks, NULLs, long texts, equal and far places, no numbers."""
+    monkeypatch.setattr(bounds, "LISTED", listed)
+    monkeypatch.setattr(bounds, "BLOCK", 1_000)
+    rng = random.Random(5)
+    words = ["golden", "heron", "cafe", "the", "taqueria", "joes", "oak", "l", "l", "c", "öß", "harborlight", "zinazel", "pier"]
+    def entity(key):
+        name = rng.choice([" ".join(rng.choices(words, k=rng.randint(0, 6))), "golden heron cafe", "joes  oak", None, "oak " * 30 + "pier"])
+        address = rng.choice([f"{rng.randint(1, 99)} {rng.choice(words)} st", "12 harborlight st", "", None, "12 harborlight pier " * 5])
+        lat = rng.choice([40.7, 40.7, 40.705, 41.0, None, float("nan")])
+        return {"h": key, "rule": 3 if key == 2 else 0, "name": name, "address": address, "city": rng.choice(["lake", "", "port", None]), "postal_code": rng.choice(["11111", "22222", None]),
+                "latitude": lat, "longitude": -74.0, "no_place": lat is None}
+    x, y = (pd.DataFrame([entity(rng.randint(0, 3)) for _ in range(n)]).astype({"latitude": float}) for n in (150, 120))
+    found = {(i, j) for a, b in bounds.promising(x, y, least=matching.REVIEW, weights=matching.WEIGHTS, score_km=matching.SCORE_KM, near={3: 2.0}) for i, j in zip(a.tolist(), b.tolist())}
+    left, right, wanted, together, w = x.to_dict("records"), y.to_dict("records"), set(), 0, matching.WEIGHTS
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            if a["h"] != b["h"]:
+                continue
+            km = math.dist(*([6371.0 * math.radians(e["latitude"]), 0] for e in (a, b))) if not (a["no_place"] or b["no_place"]) else None
+            if a["rule"] == 3 and (km is None or not km <= 2.0):
+                continue
+            together += 1
+            at = [(w["name"], similarity.mean_ratios([a["name"] or ""], [b["name"] or ""])[0])]
+            at += [(w["address"], similarity.indel(a["address"], b["address"]))] if a["address"] and b["address"] else []
+            at += [(w[k], float(a[c] == b[c])) for k, c in (("postal", "postal_code"), ("city", "city")) if a[c] is not None and b[c] is not None]
+            at += [(w["distance"], max(0.0, 1 - km / matching.SCORE_KM))] if km is not None and not math.isnan(km) else []
+            nan = km is not None and math.isnan(km)  # a score that is no number is above all others
+            if nan or sum(p * v for p, v in at) / sum(p for p, _ in at) >= matching.REVIEW:
+                wanted.add((i, j))
+    free = {(i, j) for i, j in found if math.isnan(left[i]["latitude"]) and not left[i]["no_place"] or math.isnan(right[j]["latitude"]) and not right[j]["no_place"]}
+    assert wanted <= found and len(wanted - free) > 100 and len(found - free) < together / 4
+
+
+def test_promising_pairs_hold_all_reviewable_ones_once(spark):
+    a, b = _random_sides(spark)
+    whole = matching.evidence(matching.candidate_pairs(a, b), a, b).where("decision <> 'reject'")
+    for hot in (3, 20_000):
+        got = [(r["left_id"], r["right_id"]) for r in matching.promising_pairs(a, b, hot=hot).collect()]
+        assert {(r["left_id"], r["right_id"]) for r in whole.select("left_id", "right_id").collect()} <= {*got} and len(got) == len({*got})
+
+
 def test_search_moves_no_pairs_and_equals_brute_force(spark, monkeypatch):
     """Blocks on both sides, equal texts (ties by document), repeated words, unknown words and blank texts."""
     monkeypatch.setattr(questions, "BLOCK", 7)
