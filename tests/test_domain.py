@@ -66,6 +66,16 @@ def test_reviewable_pairs_without_a_shuffle_of_rejected_ones(spark, rows):
     assert rows(got.select(*shown)) == rows(whole.select(*shown))
 
 
+def test_decided_pairs_measures_rivals_within_bounds_only(spark, rows, monkeypatch):
+    """Before all pairs are measured once, for their rivals only those are measured that can be reviewable."""
+    a, b = _random_sides(spark)
+    sizes, measured = [], matching.measured
+    monkeypatch.setattr(matching, "measured", lambda j: sizes.append(j.count()) or measured(j))
+    got = matching.decided_pairs(a, b)
+    whole = matching.candidate_pairs(a, b).count()
+    assert sizes[1] == whole == got.count() and sizes[0] < whole / 2
+
+
 @pytest.mark.parametrize("listed", [1, 10**9])
 def test_bounds_leave_out_rejected_pairs_only(monkeypatch, listed):
     """Against the score of every pair: repeated, shared and unknown words, blanks, NULLs, long texts, equal and far places, no numbers."""
